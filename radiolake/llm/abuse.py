@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Hash space and lengths of the character n-grams.
 BITS, LENGTHS = 20, (2, 3, 4, 5)
 #: Characters of a sentence at most, and shared by the windows of a longer one; characters scored at once; score from which a text is flagged.
-LONGEST, OVERLAP, AT_ONCE, THRESHOLD = 600, 150, 400_000, -0.5
+LONGEST, OVERLAP, AT_ONCE, THRESHOLD = 600, 150, 400_000, -1.5
 #: Labelled documents the classifier is fitted on at most (the smallest hashes of their ids).
 MOST_LABELLED = 4_000
 
@@ -23,7 +23,7 @@ MOST_LABELLED = 4_000
 LOOKALIKES = str.maketrans("абеорсухіјкмнтвгдԁɡııαορεντκιυ", "abeopcyxijkmhtbrdd" + "giiaopevtkiu")
 SIGNS = str.maketrans("013457@$!€", "oieastasie")
 INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿️]")
-ENDS = re.compile(r"(?<=[.!?。！？…])[\s\"'”»)\]]+|[。！？]|[\n\r  ]+")
+ENDS = re.compile(r"(?<=[.!?。！？…])[\s\"'”»)\]]+|(?<=[.!?])(?=[^\W\d_]{3})|[。！？]|[\n\r  ]+|:\s+|[\s=(][\"'“«„‘]|[\"'”»’]\s")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][.\-_*· ]){3,}[^\W_](?![^\W_])")
 DISGUISED = re.compile(r"[^\s]*[^\W\d_][^\s]*")
 REPEATED = re.compile(r"([^\W\d_])\1{2,}")
@@ -62,23 +62,34 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed distinct n-grams of each part, one after another, and where each part begins (with the end)."""
+def _hashes(parts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of n-gram the hash at every position, and whether the n-gram lies inside one part."""
     joined = "\x02" + "\x03\x02".join(parts) + "\x03"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    lengths = np.array([len(p) + 2 for p in parts], dtype=np.int64)
-    owner = np.repeat(np.arange(len(parts), dtype=np.int64), lengths)
+    part = np.cumsum(codes == 2, dtype=np.int32)
     h = np.zeros(len(codes), dtype=np.uint64)
-    keys = []
     for n in range(1, max(LENGTHS) + 1):
         h = h[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :] + np.uint64(0x9E3779B9)
         if n in LENGTHS:
-            inside = owner[: len(h)] == owner[n - 1 :]
-            mixed = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)
-            keys.append((owner[: len(h)][inside] << BITS) | (mixed[inside] >> np.uint64(64 - BITS)).astype(np.int64))
-    keys = np.unique(np.concatenate(keys))
-    bounds = np.searchsorted(keys, np.arange(len(parts) + 1, dtype=np.int64) << BITS)
-    return (keys & ((1 << BITS) - 1)).astype(np.int32), bounds
+            yield ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int32), part[: len(h)] == part[n - 1 :]
+
+
+def _starts(parts: list[str]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum([len(p) + 2 for p in parts])])
+
+
+def _sizes(parts: list[str]) -> np.ndarray:
+    """How many n-grams each part has."""
+    length = np.array([len(p) + 2 for p in parts])
+    return sum(np.maximum(0, length - n + 1) for n in LENGTHS)
+
+
+def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of each part, one after another, and where each part begins (with the end)."""
+    owner = np.repeat(np.arange(len(parts)), np.diff(_starts(parts)))
+    found = [(h[inside], owner[: len(h)][inside]) for h, inside in _hashes(parts)]
+    order = np.argsort(np.concatenate([o for _, o in found]), kind="stable")
+    return np.concatenate([h for h, _ in found])[order], np.concatenate([[0], np.cumsum(_sizes(parts))])
 
 
 def sums(weights: np.ndarray, index: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -87,6 +98,15 @@ def sums(weights: np.ndarray, index: np.ndarray, bounds: np.ndarray) -> np.ndarr
     return (upto[bounds[1:]] - upto[bounds[:-1]]) / np.sqrt(np.maximum(1, np.diff(bounds)))
 
 
+def sums_of(weights: np.ndarray, parts: list[str]) -> np.ndarray:
+    """The same without holding the features."""
+    starts, total = _starts(parts), np.zeros(len(parts))
+    for h, inside in _hashes(parts):
+        upto = np.concatenate([[0.0], np.cumsum(np.where(inside, weights[h], 0), dtype=np.float64)])
+        total += upto[np.minimum(starts[1:], len(h))] - upto[np.minimum(starts[:-1], len(h))]
+    return total / np.sqrt(np.maximum(1, _sizes(parts)))
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -103,7 +123,7 @@ class Model:
         for i, p in enumerate(parts, 1):
             held += len(p)
             if held > AT_ONCE or i == len(parts):
-                out.append(sums(self.weights, *features(parts[a:i])) + self.bias)
+                out.append(sums_of(self.weights, parts[a:i]) + self.bias)
                 a, held = i, 0
         return np.concatenate(out) if out else np.empty(0)
 
