@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from radiolake.runtime import materialize
+
 
 def value_frequencies(rows: DataFrame, key: str, value: str) -> DataFrame:
     """``key, value, n``: how often each key holds each value.
@@ -21,19 +23,27 @@ def profile(frequencies: DataFrame, fractions: dict[str, float] | None = None) -
 
     Percentiles are the smallest value that at least that share of the key's non-null values doesn't exceed. Of equally
     frequent values the smallest is the mode. A key with only null values has null results and zero counts.
+
+    A hot key may also have very many distinct values, so no window runs over a whole key: the weighted values are cut into ranges by (key, value) and written
+    with their range's number; running weights are sums over the ranges before plus a window inside the range.
     """
     fractions = {"p50": 0.5} if fractions is None else fractions
-    w = Window.partitionBy("key").orderBy("value")
     f = frequencies.withColumn("v_n", F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0))
-    f = f.withColumn("upto", F.sum("v_n").over(w)).withColumn("total", F.sum("v_n").over(Window.partitionBy("key")))
+    f = materialize(f.repartitionByRange("key", "value").withColumn("part", F.spark_partition_id()), "frequencies")
+    parts = f.groupBy("key", "part").agg(F.sum("v_n").alias("part_n"))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select("key", "part", F.coalesce(F.sum("part_n").over(before), F.lit(0)).alias("carry"), F.sum("part_n").over(Window.partitionBy("key")).alias("total"))
+    inside = Window.partitionBy("key", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = f.join(carried, ["key", "part"]).withColumn("upto", F.col("carry") + F.sum("v_n").over(inside))
+    known = F.col("value").isNotNull()
     aggs = [
         F.sum("n").alias("n_rows"),
         F.sum("v_n").alias("n_values"),
         F.count("value").alias("n_distinct"),
-        F.min_by("value", F.when(F.col("value").isNotNull(), F.struct(-F.col("n"), F.col("value")))).alias("mode"),
+        F.min_by("value", F.when(known, F.struct((-F.col("n")).alias("a"), F.col("value").alias("b")))).alias("mode"),
     ]
     aggs += [F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * F.lit(q)), F.col("value"))).alias(name) for name, q in fractions.items()]
-    return f.groupBy("key").agg(*aggs)
+    return ranked.groupBy("key").agg(*aggs)
 
 
 def heavy_keys(rows: DataFrame, key: str, value: str, share: float = 0.05) -> DataFrame:

@@ -36,7 +36,8 @@ def continuous_periods(rows: DataFrame, key: str, start: str, end: str, block_se
         .withColumn("opens", (F.col("before").isNull() | (s > F.col("before"))).cast("long"))
     )
     opened = started.groupBy("k", "blk").agg(F.sum("opens").alias("n")).select("k", "blk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("islands"))
-    labelled = started.join(opened, ["k", "blk"]).withColumn("island", F.col("islands") + F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    counting = Window.partitionBy("k", "blk").orderBy("s", "e", F.desc("opens")).rowsBetween(Window.unboundedPreceding, 0)  # of equal rows the one that opens comes first
+    labelled = started.join(opened, ["k", "blk"]).withColumn("island", F.col("islands") + F.sum("opens").over(counting))
     return (
         labelled.groupBy("k", "island")
         .agg(F.min("s").alias("period_start"), F.max("e").alias("period_end"), F.max(F.when(F.col("opens") == 1, F.col("before"))).alias("previous_end"), F.count(F.lit(1)).alias("n_intervals"))

@@ -55,7 +55,7 @@ def _bounds(source: np.ndarray, blk: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], edges, [len(source)]])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], halo: int) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], halo: int, size: int) -> Iterator[pa.RecordBatch]:
     """Marks readings of long enough runs of one value, drops second copies and the halo; ``short``: the halo held too few readings."""
     for a in _blocks(batches):
         new_block = np.r_[True, (a["source"][1:] != a["source"][:-1]) | (a["blk"][1:] != a["blk"][:-1])]
@@ -68,9 +68,9 @@ def _runs(batches: Iterator[pa.RecordBatch], halo: int) -> Iterator[pa.RecordBat
         core = a["core"][keep]
         block = np.cumsum(new_block[keep]) - 1
         # The halo must hold RUN - 1 readings to either side wherever the source goes on beyond it.
-        start, rows_block = a["blk"] * BLOCK, np.cumsum(new_block) - 1
+        start, rows_block = a["blk"] * size, np.cumsum(new_block) - 1
         lacking = np.zeros(block[-1] + 1, dtype=bool)
-        for side in (a["pos"] < start, a["pos"] >= start + BLOCK):
+        for side in (a["pos"] < start, a["pos"] >= start + size):
             stored = np.bincount(rows_block[side], minlength=len(lacking))
             distinct = np.bincount(block[side[keep]], minlength=len(lacking))
             lacking |= (stored >= halo) & (distinct < RUN - 1)
@@ -216,7 +216,7 @@ def _spread_days(counts: DataFrame) -> DataFrame:
     return counts.withColumn("day", F.explode(days))
 
 
-def suspicious_readings(spark: SparkSession, packets: DataFrame, source: str = "sniffer_id", ts: str = "ts", value: str = "rssi", ident: str = "id") -> DataFrame:
+def suspicious_readings(spark: SparkSession, packets: DataFrame, source: str = "sniffer_id", ts: str = "ts", value: str = "rssi", ident: str = "id", block: int = BLOCK) -> DataFrame:
     """Readings that can't be what their source heard: ``id, source, value, p_spike, p_stuck, p_range, reason``, one row per id.
 
     ``reason`` is ``range`` (above +10 or below -120), ``stuck`` (one of at least 12 consecutive equal readings of the source in
@@ -244,15 +244,15 @@ def suspicious_readings(spark: SparkSession, packets: DataFrame, source: str = "
     numbered = heard.join(offsets.select("source", "minute", "c0"), ["source", "minute"]).withColumn("pos", F.col("c0") + F.row_number().over(Window.partitionBy("source", "minute").orderBy("us", "id")) - 1)
 
     def in_blocks(df: DataFrame, halo: int) -> DataFrame:
-        blks = F.sequence(floor_div(F.col("pos") - halo, BLOCK), floor_div(F.col("pos") + halo, BLOCK))
-        return df.withColumn("blk", F.explode(blks)).withColumn("core", F.col("blk") == floor_div(F.col("pos"), BLOCK)).filter("blk >= 0")
+        blks = F.sequence(floor_div(F.col("pos") - halo, block), floor_div(F.col("pos") + halo, block))
+        return df.withColumn("blk", F.explode(blks)).withColumn("core", F.col("blk") == floor_div(F.col("pos"), block)).filter("blk >= 0")
 
     run_schema = "source long, minute long, us long, id long, value int, pos long, stuck boolean, short boolean"
     halo = 64
     while True:
         short = Observation()
         blocked = in_blocks(numbered.select("source", "minute", "us", "id", "value", "pos"), halo).repartition("source", "blk").sortWithinPartitions("source", "blk", "us", "id")
-        done = Stage(blocked.mapInArrow(lambda b, h=halo: _runs(b, h), run_schema).observe(short, F.count_if("short").alias("n")).drop("short"), "spike-readings")
+        done = Stage(blocked.mapInArrow(lambda b, h=halo: _runs(b, h, block), run_schema).observe(short, F.count_if("short").alias("n")).drop("short"), "spike-readings")
         if not short.get["n"]:
             break
         done.drop()
@@ -263,7 +263,7 @@ def suspicious_readings(spark: SparkSession, packets: DataFrame, source: str = "
     counts = materialize(clean.groupBy("source", "minute", "value").agg(F.count(F.lit(1)).alias("n")), "spike-counts")
     levels = materialize(_spread_days(counts).groupBy("source", "day").applyInPandas(_levels, "source long, minute long, lo int, hi int"), "spike-levels")
 
-    first, last = floor_div(F.col("c0") - 64, BLOCK), floor_div(F.col("c0") + F.col("n") + 64, BLOCK)
+    first, last = floor_div(F.col("c0") - 64, block), floor_div(F.col("c0") + F.col("n") + 64, block)
     markers = levels.join(offsets, ["source", "minute"]).withColumn("blk", F.explode(F.sequence(first, last)))
     none = lambda t: F.lit(None).cast(t)
     chains = in_blocks(readings, 64).select("source", "blk", "us", "id", "minute", "value", "stuck", "core", none("int").alias("lo"), none("int").alias("hi"))
