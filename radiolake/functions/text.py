@@ -21,7 +21,7 @@ def log_line(raw: Column, fallback: Column | None = None) -> Column:
     when = F.when(fits, F.regexp_extract(line, LINE, 1)).try_cast("timestamp")
     ts = F.coalesce(F.when(fits, F.unix_micros(when) / 1e6), F.lit(None).cast("double") if fallback is None else fallback)
     out = F.struct(ts.alias("ts"), F.when(fits, F.nullif(F.regexp_extract(line, LINE, 2), F.lit(""))).alias("level"), F.when(fits, F.regexp_extract(line, LINE, 3)).otherwise(line).alias("body"))
-    return F.when(F.trim(raw) != "", out)
+    return F.when(raw.rlike("\\S"), out)
 
 
 def masked(body: Column) -> Column:

@@ -49,7 +49,7 @@ def stalls(packets: DataFrame, by: str, ts: str, seconds: float = 60.0, block_se
 
 
 def silent_now(packets: DataFrame, by: str, ts: str, now: Column, seconds: float = 60.0) -> DataFrame:
-    return packets.groupBy(by).agg(F.max(ts).alias("last_seen")).filter(now - F.col("last_seen") > seconds)
+    return packets.filter(F.col(by).isNotNull()).groupBy(by).agg(F.max(ts).alias("last_seen")).filter(now - F.col("last_seen") > seconds)
 
 
 def templates(lines: DataFrame, by: list[str], body: str, us: str) -> DataFrame:

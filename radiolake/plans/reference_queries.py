@@ -276,7 +276,7 @@ def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "no", text.log_line(F.col("raw")).alias("l")).filter("l is not null").select("doc_id", "no", "l.*")
 
 
-_LINES = f"""ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents WHERE source = 'capture_log'), ps AS (SELECT doc_id, regexp_replace(raw, '[\\r\\n]+$', '') AS line FROM ln WHERE trim(raw) <> ''),
+_LINES = f"""ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents WHERE source = 'capture_log'), ps AS (SELECT doc_id, regexp_replace(raw, '[\\r\\n]+$', '') AS line FROM ln WHERE regexp_matches(raw, '\\S')),
 lg AS (SELECT doc_id, regexp_matches(line, '{text.LINE}') AS fits, nullif(regexp_extract(line, '{text.LINE}', 2), '') AS level, CASE WHEN regexp_matches(line, '{text.LINE}') THEN regexp_extract(line, '{text.LINE}', 3) ELSE line END AS body FROM ps)"""
 
 

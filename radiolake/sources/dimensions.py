@@ -48,7 +48,11 @@ def described(ports: DataFrame, usb: DataFrame) -> DataFrame:
     text = lambda c: F.lower(F.coalesce(c, F.lit("")))
     by_serial = (F.length(text(F.col("serial"))) > 0) & (F.length(text(F.col("usb_serial"))) > 0) & (F.contains(text(F.col("usb_serial")), text(F.col("serial"))) | F.contains(text(F.col("serial")), text(F.col("usb_serial"))))
     by_place = (F.length(text(F.col("location"))) > 0) & F.startswith(text(F.col("usb_location")), text(F.col("location")))
-    pairs = ports.join(usb, by_serial | by_place).withColumn("rank", F.when(by_serial, 0).otherwise(1))
-    best = pairs.groupBy("usb_id", "product").agg(F.min(F.struct("rank", "path")).alias("w")).select("usb_id", "product", F.col("w.path").alias("path"), F.col("w.rank").alias("rank"))
-    chosen = best.groupBy("path").agg(F.min(F.struct("rank", "usb_id", "product")).alias("w")).select("path", "w.usb_id", "w.product")
-    return ports.join(chosen, "path", "left")
+
+    def matched(free: DataFrame, rows: DataFrame, condition: Column) -> DataFrame:
+        first = free.join(rows, condition).groupBy("usb_id", "product").agg(F.min("path").alias("path"))
+        return first.groupBy("path").agg(F.min(F.struct("usb_id", "product")).alias("w")).select("path", "w.usb_id", "w.product")
+
+    one = matched(ports, usb, by_serial)
+    two = matched(ports.join(one, "path", "left_anti"), usb.join(one, "usb_id", "left_anti"), by_place)
+    return ports.join(one.unionByName(two), "path", "left")

@@ -24,7 +24,7 @@ class CrcCredit(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "ts double, device long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(rows).sort_values("seq", kind="stable")
         last = self.last.get() if self.last.exists() else None
         out = []
@@ -57,7 +57,7 @@ class Watchdog(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", "last double, attempts int, stuck boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = max(float(r["ts"].max()) for r in rows)
         if self.state.exists():
             last = max(last, self.state.get()[0])
@@ -67,9 +67,9 @@ class Watchdog(StatefulProcessor):
         self.handle.registerTimer(int((last + self.stall) * 1000) + 1)
         yield pd.DataFrame({"sniffer": pd.Series(dtype="string"), "silent_for": pd.Series(dtype="float64"), "attempt": pd.Series(dtype="int32"), "stuck": pd.Series(dtype="bool")})
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last, attempts, stuck = self.state.get()
-        now = expired.getExpiryTimeInMs() / 1000
+        now = expiredTimerInfo.getExpiryTimeInMs() / 1000
         if stuck:
             return
         attempts += 1
@@ -99,7 +99,7 @@ class TemplateMiner(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("tree", "blob binary")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         import re
 
         batch = pd.concat(rows).sort_values("ts", kind="stable")
