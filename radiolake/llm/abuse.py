@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Hash space and lengths of the character n-grams.
 BITS, LENGTHS = 20, (2, 3, 4, 5)
-#: Characters of a sentence at most, and shared by the windows of a longer one; characters scored at once; score from which a text is flagged.
-LONGEST, OVERLAP, AT_ONCE, THRESHOLD = 600, 150, 400_000, -1.5
+#: Characters of a sentence at most, of the windows of a longer one and between their starts; characters scored at once; score from which a text is flagged.
+LONGEST, WINDOW, STEP, AT_ONCE, THRESHOLD = 240, 120, 50, 400_000, -2.0
 #: Labelled documents the classifier is fitted on at most (the smallest hashes of their ids).
 MOST_LABELLED = 4_000
 
@@ -24,9 +24,10 @@ LOOKALIKES = str.maketrans("абеорсухіјкмнтвгдԁɡııαορεν
 SIGNS = str.maketrans("013457@$!€", "oieastasie")
 INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿️]")
 ENDS = re.compile(r"(?<=[.!?。！？…])[\s\"'”»)\]]+|(?<=[.!?])(?=[^\W\d_]{3})|[。！？]|[\n\r  ]+|:\s+|[\s=(][\"'“«„‘]|[\"'”»’]\s")
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][.\-_*· ]){3,}[^\W_](?![^\W_])")
+SPACED = re.compile(r"(?<![^\W_])[^\W_]([.\-_*· ])(?:[^\W_]\1){2,}[^\W_](?![^\W_])")
 DISGUISED = re.compile(r"[^\s]*[^\W\d_][^\s]*")
 REPEATED = re.compile(r"([^\W\d_])\1{2,}")
+RULES = re.compile(r"([^\w\s])\1{3,}")
 NUMBERS = re.compile(r"\d+")
 
 
@@ -46,9 +47,9 @@ def _word(m: re.Match) -> str:
 def plain(text: str) -> str:
     """A text as it is read: compatibility forms, case, invisible and look-alike characters, spacing and stretching undone."""
     t = unicodedata.normalize("NFKC", INVISIBLE.sub("", text)).lower()
-    t = SPACED.sub(lambda m: re.sub(r"[.\-_*· ]", "", m[0]), t)
+    t = SPACED.sub(lambda m: m[0].replace(m[1], ""), t)
     t = DISGUISED.sub(_word, t)
-    t = REPEATED.sub(r"\1", t)
+    t = RULES.sub(r"\1", REPEATED.sub(r"\1", t))
     return " ".join(NUMBERS.sub("0", t).split())
 
 
@@ -58,7 +59,7 @@ def sentences(text: str) -> list[str]:
     for s in ENDS.split(text):
         p = plain(s) if s else ""
         if any(map(str.isalpha, p)):
-            out += [p] if len(p) <= LONGEST else [p[i : i + LONGEST] for i in range(0, len(p) - OVERLAP, LONGEST - OVERLAP)]
+            out += [p] if len(p) <= LONGEST else [p[i : i + WINDOW] for i in range(0, len(p) - WINDOW + STEP, STEP)]
     return out
 
 
