@@ -47,8 +47,3 @@ def grid_place(ordinal: Column, columns: int) -> Column:
 def uncovered(pinned: Column) -> Column:
     """Primary channels that no receiver is pinned to."""
     return F.array_except(F.array(*map(F.lit, PRIMARY)), pinned)
-
-
-def role(ordinal: Column, receivers: Column) -> Column:
-    """What the n-th of so many receivers does: one scans; of two the first is pinned to 37; from three on three are pinned, the rest idle."""
-    return F.when((receivers == 1) | ((receivers == 2) & (ordinal == 1)), "scan").when(ordinal < 3, F.concat(F.lit("pin"), (ordinal + 37).cast("string"))).otherwise("idle")

@@ -80,7 +80,7 @@ def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PERIODS = """
-WITH v AS (SELECT device_id, first_seen AS s, last_seen AS e FROM addresses WHERE device_id IS NOT NULL AND last_seen >= first_seen AND NOT isnan(first_seen) AND NOT isnan(last_seen)),
+WITH v AS (SELECT device_id, first_seen AS s, last_seen AS e, count(*) AS n FROM addresses WHERE device_id IS NOT NULL AND last_seen >= first_seen AND NOT isnan(first_seen) AND NOT isnan(last_seen) GROUP BY 1, 2, 3),
 m AS (SELECT *, max(e) OVER (PARTITION BY device_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v),
 i AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY device_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
 """
@@ -93,7 +93,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("device_id", F.floor("gap_start").alias("gap_start"), F.floor("gap_end").alias("gap_end"))
 
 
-@query(_PERIODS + "SELECT device_id, min(s) AS period_start, max(e) AS period_end, count(*) AS n_intervals FROM i GROUP BY device_id, island")
+@query(_PERIODS + "SELECT device_id, min(s) AS period_start, max(e) AS period_end, CAST(sum(n) AS BIGINT) AS n_intervals FROM i GROUP BY device_id, island")
 def p3_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous seen periods of each device."""
     return continuous_periods(read(spark, sf_dir, "addresses"), "device_id", "first_seen", "last_seen").drop("previous_end")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from radiolake.functions import continuity, frames, identity, radio, text
+from radiolake.functions import continuity, frames, identity, radio, roles, text
 from radiolake.operators import asof, candidates, cascade, clusters, components, inventory, mining, monitors, observe, readmodel, signals, upserts
 from radiolake.plans import views
 from radiolake.runtime import TIME_FROM, TIME_TO, is_valid_time, read, shared_dir
@@ -719,6 +719,70 @@ def q70_appearance_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "devices").groupBy("appearance", identity.appearance_class(F.col("appearance")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT id, address, first_seen, last_seen FROM addresses WHERE address_type = 'rpa' AND device_id IS NULL")
+def q71_unresolved_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-8: resolvable addresses of no known device."""
+    return read(spark, sf_dir, "addresses").filter("address_type = 'rpa' and device_id is null").select("id", "address", "first_seen", "last_seen")
+
+
+@query(f"WITH {views.OBSERVED}, {views.DEVICES} SELECT d.id, d.device_class, max(o.last_seen) AS last_seen FROM obs o JOIN dev d ON d.id = o.device_id WHERE d.device_class IS NOT NULL AND o.last_seen >= {TIME_FROM} + 5e5 AND o.last_seen < {TIME_TO} GROUP BY d.id, d.device_class")
+def q72_devices_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-5: devices of a class heard since a time."""
+    obs = views.observed(spark, sf_dir).filter((F.col("last_seen") >= TIME_FROM + 5e5) & (F.col("last_seen") < TIME_TO)).select("device_id", F.col("last_seen").alias("seen"))
+    dev = views.devices(spark, sf_dir).filter("device_class is not null").select("id", "device_class")
+    return obs.join(dev, F.col("device_id") == F.col("id")).groupBy("id", "device_class").agg(F.max("seen").alias("last_seen"))
+
+
+@query("SELECT serial_number, location_id_hex, CAST(row_number() OVER (ORDER BY location_id_hex NULLS LAST, serial_number) AS INTEGER) AS place FROM sniffers WHERE NOT removed OR is_active")
+def q73_receivers_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TK-2, FLT-7: receivers by location, those without one last (a fixed dozen rows, so one window is fine)."""
+    w = Window.partitionBy(F.lit(1)).orderBy(F.asc_nulls_last("location_id_hex"), "serial_number")
+    return read(spark, sf_dir, "sniffers").filter("not removed or is_active").select("serial_number", "location_id_hex", F.row_number().over(w).alias("place"))
+
+
+@query("SELECT kind, string_agg(CAST(id AS VARCHAR) || ':' || CASE WHEN n = 1 OR (n = 2 AND r = 2) THEN 'scan' WHEN r <= 3 THEN 'pin' || (r + 36) ELSE 'idle' END, ',' ORDER BY id) AS roles FROM (SELECT *, count(*) OVER (PARTITION BY kind) AS n, row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN kind = 'dk' THEN 1 ELSE 0 END, id) AS r FROM sniffers) GROUP BY kind")
+def q74_default_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SF-47, ST-4: roles of receivers by kind."""
+    placed = roles.defaults(read(spark, sf_dir, "sniffers"), "kind", F.col("kind") != "dk", "id")
+    return placed.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "role"))), lambda x: F.concat_ws(":", x["id"], x["role"])), ",").alias("roles"))
+
+
+@query("SELECT vendor_id, arg_max(local_name, row(last_seen, id)) FILTER (local_name IS NOT NULL) AS latest_name, count(DISTINCT local_name) AS names FROM devices WHERE vendor_id IS NOT NULL GROUP BY vendor_id")
+def q75_latest_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN-2, JN-3: the latest name heard per maker."""
+    rows = read(spark, sf_dir, "devices").filter("vendor_id is not null").withColumn("seq", F.struct("last_seen", "id"))
+    return rows.groupBy("vendor_id").agg(upserts.latest_known("local_name", "seq").alias("latest_name"), F.count_distinct("local_name").alias("names"))
+
+
+@query("SELECT c.id AS cluster_id, c.source, count(m.device_id) AS members, round(min(m.score), 4) AS weakest FROM device_clusters c LEFT JOIN device_cluster_members m ON m.cluster_id = c.id GROUP BY c.id, c.source")
+def q76_cluster_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-5: clusters with their members and weakest score."""
+    c, m = read(spark, sf_dir, "device_clusters").select(F.col("id").alias("cluster_id"), "source"), read(spark, sf_dir, "device_cluster_members").select("cluster_id", "device_id", "score")
+    return c.join(m, "cluster_id", "left").groupBy("cluster_id", "source").agg(F.count("device_id").alias("members"), F.round(F.min("score"), 4).alias("weakest"))
+
+
+@query(
+    f"""WITH h AS (SELECT device_id, channel, count(*) AS n FROM packets WHERE channel IS NOT NULL GROUP BY ALL), t AS (SELECT device_id, count(*) AS n, round(avg(rssi), 1) AS r FROM packets GROUP BY device_id)
+    SELECT d.id, {_LABEL} || ' | ' || coalesce(replace(d.device_class, '_', ' '), 'unknown') || ' | ' || t.n || ' packets' || coalesce(' | ch ' || (SELECT string_agg(channel || '×' || h.n, ' ' ORDER BY channel) FROM h WHERE h.device_id = d.id), '') AS tooltip
+    FROM (SELECT *, coalesce(nullif(vendor, ''), nullif(oui_vendor, '')) AS mk FROM devices) d JOIN t ON t.device_id = d.id"""
+)
+def q77_tooltips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SF-37, SF-49: a line of text per device."""
+    packets = read(spark, sf_dir, "packets")
+    channels = observe.as_map(observe.histogram(packets, ["device_id"], "channel"), ["device_id"], "channel")
+    shown = F.array_join(F.transform(F.map_entries("channel_histogram"), lambda e: F.concat(e["key"].cast("string"), F.lit("×"), e["value"].cast("string"))), " ")
+    counts = packets.groupBy("device_id").agg(F.count(F.lit(1)).alias("n")).join(channels, "device_id", "left")
+    d = read(spark, sf_dir, "devices").join(counts, F.col("id") == F.col("device_id"))
+    line = F.concat(_label(), F.lit(" | "), F.coalesce(identity.class_label(F.col("device_class")), F.lit("unknown")), F.lit(" | "), F.col("n").cast("string"), F.lit(" packets"), F.coalesce(F.concat(F.lit(" | ch "), shown), F.lit("")))
+    return d.select("id", line.alias("tooltip"))
+
+
+@query("SELECT session_id, floor(ts / 3600)::BIGINT AS hour, count(*) AS n, min(rssi) AS rssi_min, max(rssi) AS rssi_max FROM packets WHERE " + VALID + " GROUP BY ALL")
+def q78_tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM-10, SM-11: packets per session and hour."""
+    return _heard(spark, sf_dir).groupBy("session_id", F.floor(F.col("ts") / 3600).alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.min("rssi").alias("rssi_min"), F.max("rssi").alias("rssi_max"))
+
+
 # Streams run over what is there; the tables they write lie in the shared folder
 
 

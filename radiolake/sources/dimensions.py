@@ -56,3 +56,8 @@ def described(ports: DataFrame, usb: DataFrame) -> DataFrame:
     one = matched(ports, usb, by_serial)
     two = matched(ports.join(one, "path", "left_anti"), usb.join(one, "usb_id", "left_anti"), by_place)
     return ports.join(one.unionByName(two), "path", "left")
+
+
+def company(rows: DataFrame, table: DataFrame, column: str = "vendor_id") -> DataFrame:
+    """``rows`` with the name of each company id (``code``, ``company``); null where the table hasn't it."""
+    return rows.join(table.select(F.col("code").alias("_code"), "company"), F.col(column) == F.col("_code"), "left").drop("_code")

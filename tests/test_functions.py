@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from radiolake.functions import broadcast, continuity, frames, identity, radio, text
+from radiolake.functions import broadcast, continuity, frames, identity, radio, roles, text
 from radiolake.functions.binary import be16, i8, le16, le24, mac, to_bytes, u8
 
 
@@ -172,7 +172,17 @@ def test_radio(spark):
     assert shown(5) == 1.0 and shown(90_000) == 0.1 and 0.1 < shown(3600) < shown(300) < 1
     assert one(spark, radio.opacity(F.lit(0.0), F.lit(5.0))) == 0.1 and shown(20, horizon=30.0) < 1
     assert one(spark, radio.uncovered(F.array(F.lit(38)))) == [37, 39]
-    assert [[one(spark, radio.role(F.lit(i), F.lit(n))) for i in range(n)] for n in (1, 2, 3, 4)] == [["scan"], ["pin37", "scan"], ["pin37", "pin38", "pin39"], ["pin37", "pin38", "pin39", "idle"]]
+    for n, want in ((1, ["scan"]), (2, ["pin37", "scan"]), (3, ["pin37", "pin38", "pin39"]), (4, ["pin37", "pin38", "pin39", "idle"])):
+        df = spark.createDataFrame([("h", i) for i in range(n)], "host string, i int")
+        assert [r["role"] for r in roles.defaults(df, "host", F.lit(True), "i").orderBy("i").collect()] == want
+
+
+def test_roles(spark):
+    go = lambda role, channels=None, address=None, key=None: one(spark, roles.problems(F.lit(role), F.col("c"), F.lit(address).cast("string"), F.lit(key).cast("string")), c=(channels, "array<int>"))
+    assert go("pin", [37, 39]) == [] == go("scan") == go("follow", None, "aa:bb:cc:dd:ee:ff", "0" * 32)
+    assert go("pin") == ["no channel"] and go("pin", [5, 5]) == ["channel isn't primary", "channel given twice"]
+    assert go("follow", None, "aa:bb") == ["address of the wrong form"] and go("idle", None, None, "xy") == ["key of the wrong form"]
+    assert one(spark, roles.masked_key(F.lit("a" * 28 + "beef"))) == "…beef" and one(spark, roles.short_name(F.lit("SN12"), F.lit("dk"), F.lit(3))) == "dk-SN12"
 
 
 def test_log_lines(spark):
