@@ -13,9 +13,10 @@ IDENTITY = "irk_resolution"
 
 
 def gather(scores: dict[str, DataFrame]) -> DataFrame:
-    """Scores of all signals as one MAP per pair: ``a, b, scores``; one shuffle for all of them."""
+    """Scores of all signals as one MAP per pair: ``a, b, scores`` (null where a signal abstains); one shuffle for all of them."""
     long = [df.select("a", "b", F.lit(name).alias("signal"), F.col("score").cast("double").alias("score")).filter("score is not null") for name, df in scores.items()]
-    return reduce(DataFrame.unionByName, long).groupBy("a", "b").agg(F.map_from_entries(F.collect_list(F.struct("signal", "score"))).alias("scores"))
+    flat = reduce(DataFrame.unionByName, long).groupBy("a", "b").agg(*[F.max(F.when(F.col("signal") == name, F.col("score"))).alias(f"s{i}") for i, name in enumerate(scores)])
+    return flat.select("a", "b", F.map_from_arrays(F.array(*map(F.lit, scores)), F.array(*[f"s{i}" for i in range(len(scores))])).alias("scores"))
 
 
 def decide(pairs: DataFrame, gathered: DataFrame, rules: DataFrame, profiles: dict[str, dict]) -> DataFrame:

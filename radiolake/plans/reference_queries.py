@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from radiolake.functions import continuity, frames, identity, radio, roles, text
 from radiolake.operators import asof, candidates, cascade, clusters, components, inventory, mining, monitors, observe, readmodel, signals, upserts
 from radiolake.plans import views
-from radiolake.runtime import TIME_FROM, TIME_TO, is_valid_time, read, shared_dir
+from radiolake.runtime import TIME_FROM, TIME_TO, is_valid_time, materialize, read, shared_dir
 from radiolake.sources import dimensions, profiles
 from radiolake.streaming import rollup, stateful
 
@@ -415,15 +415,15 @@ ro AS (SELECT p.a, p.b, least(x.l, y.l) - greatest(x.f, y.f) > 0 AS overlap, lea
 rot AS (SELECT a, b, CASE WHEN bool_or(overlap) THEN -1.0 ELSE max(CASE WHEN gap IS NULL OR gap > 1800 THEN 0.0 WHEN gap < 0.05 THEN 0.5 ELSE greatest(0.0, 1 - abs(gap - 900) / 900) END) END::DOUBLE AS score FROM ro GROUP BY a, b)"""
 
 
-def _rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rotations(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
     rotating = signals.latest_address(read(spark, sf_dir, "addresses")).filter("address_type = 'rpa'").select(F.col("device_id").alias("id"))
-    return signals.rotations(_pairs(spark, sf_dir), signals.presence(_heard(spark, sf_dir)), rotating)
+    return signals.rotations(pairs, signals.presence(_heard(spark, sf_dir)), rotating)
 
 
 @query(f"WITH {_PAIRS}, {_ROTATE} SELECT a, b, round(score, 6) AS score FROM rot")
 def q25_rotation_handoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SG-1, AG-12: addresses that take over from one another."""
-    return _rotations(spark, sf_dir).withColumn("score", F.round("score", 6))
+    return _rotations(spark, sf_dir, _pairs(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 _PROFILES = profiles.load()
@@ -442,9 +442,9 @@ dc AS (SELECT a, b, device_class, profile, CASE WHEN fm IS NOT NULL THEN 'reject
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir)
+    pairs = materialize(_pairs(spark, sf_dir), "pairs")  # read by every signal
     scores = {
-        "co_lifespan_match": signals.lifespans(pairs, views.observed(spark, sf_dir)), "rotation_cohort": _rotations(spark, sf_dir),
+        "co_lifespan_match": signals.lifespans(pairs, views.observed(spark, sf_dir)), "rotation_cohort": _rotations(spark, sf_dir, pairs),
         "rssi_signature": signals.levels(pairs, signals.recent_levels(_heard(spark, sf_dir), window=3600.0)),
     }
     return cascade.decide(pairs, cascade.gather(scores), profiles.rules(spark, _PROFILES), _PROFILES)
