@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Form of a capture log's line. Fixed value.
 LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?)\s+(?:(ERROR|WARNING|INFO|VERBOSE|DEBUG|SUMMARY)\s+)?(.*)$"
 BASE_UUID = "-0000-1000-8000-00805f9b34fb"
 #: Masks of variable parts, most specific first.

@@ -31,7 +31,8 @@ def decide(pairs: DataFrame, gathered: DataFrame, rules: DataFrame, profiles: di
         F.array_sort(F.collect_list(F.struct("ord", "signal", "weight", "for_merge", "eventually", "decisive"))).alias("rules"),
         *[F.first(c).alias(c) for c in ("threshold", "min_total_weight", "decisive_threshold", "negative_block")],
     )  # a row per profile
-    base = pairs.select("a", "b", "device_class", profile_of(F.col("device_class"), profiles).alias("profile")).join(F.broadcast(per), "profile").join(gathered, ["a", "b"], "left")
+    scored = pairs.select("a", "b", "device_class").join(gathered, ["a", "b"], "left")  # the rules come after, so that no shuffle carries them
+    base = scored.withColumn("profile", profile_of(F.col("device_class"), profiles)).join(F.broadcast(per), "profile")
 
     def clamped(name: Column) -> Column:
         s = F.try_element_at("scores", name)

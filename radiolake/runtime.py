@@ -65,3 +65,11 @@ def floor_div(a: Column, b: int) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by the keys in as many partitions as the session's setting says, for joins whose result is far larger than their input.
+
+    Partitions are otherwise joined up at run time by the size of the input, which would leave such a join to a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from radiolake.functions.text import log_line
 
-#: Bodies that are always told as they stand.
-VERBATIM = r"STALL|capture (started|stopped)|role short_id="
+#: Bodies that are always told as they stand. Fixed value.
+VERBATIM = r"\bSTALL\b|\bcapture (started|stopped)\b|\bdongle short_id=|\brole short_id="
 
 
 def lines(raw: DataFrame, source: Column) -> DataFrame:
