@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 #: Hash space and lengths of the character n-grams.
 BITS, LENGTHS = 20, (2, 3, 4, 5)
-#: Characters of a sentence at most, of the windows of a longer one and between their starts; characters scored at once; score from which a text is flagged.
+#: Share of the documents labelled clean that lie under the threshold when held out; the rest may be wrong labels.
+CLEAN = 0.97
+#: Characters of a sentence at most, of the windows of a longer one and between their starts; characters scored at once; lowest score from which a text is flagged.
 LONGEST, WINDOW, STEP, AT_ONCE, THRESHOLD = 240, 120, 50, 400_000, -2.0
 #: Labelled documents the classifier is fitted on at most (the smallest hashes of their ids).
 MOST_LABELLED = 4_000
@@ -198,8 +200,8 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 3, penalty: float =
     A label holds for a document, abuse for a sentence of it. So sentences are classified: those of clean documents are clean; of an abusive
     document the sentence that scores highest is the abusive one, found anew in each round (first by the log-count ratios of documents),
     the rest of the document is left out. Raters err: each fold is scored by a classifier of the others, and documents labelled
-    abusive that score below ``doubt[0]`` or clean above ``doubt[1]`` are left out of the last fit. Without labels of both kinds
-    nothing is flagged.
+    abusive that score below ``doubt[0]`` or clean above ``doubt[1]`` are left out of the last fit. The same held-out scores give the threshold:
+    ``CLEAN`` of the clean documents lie below it, so few labels make it careful. Without labels of both kinds nothing is flagged.
     """
     parts = [sentences(t) for t in texts]
     keep = [i for i, p in enumerate(parts) if p]
@@ -210,16 +212,17 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 3, penalty: float =
     rank = np.empty(len(docs), dtype=np.int64)
     for kind in (0, 1):
         rank[y == kind] = np.arange(int((y == kind).sum()))
-    fold, trusted = rank % folds, np.ones(len(docs), dtype=bool)
+    fold, trusted, threshold = rank % folds, np.ones(len(docs), dtype=bool), THRESHOLD
     if min(y.sum(), (1 - y).sum()) >= 2 * folds:
+        held = np.empty(len(docs))
         for k in range(folds):
-            w, b = bags.fit(docs[fold != k], y[fold != k], rounds, penalty)
-            s = bags.scores(w, b, docs[fold == k])
-            trusted[fold == k] = np.where(y[fold == k] == 1, s >= doubt[0], s <= doubt[1])
+            held[fold == k] = bags.scores(*bags.fit(docs[fold != k], y[fold != k], rounds, penalty), docs[fold == k])
+        trusted = np.where(y == 1, held >= doubt[0], held <= doubt[1])
+        threshold = max(THRESHOLD, float(np.quantile(held[y == 0], CLEAN)))
         if len(np.unique(y[trusted])) < 2:
             trusted[:] = True
     weights, bias = bags.fit(docs[trusted], y[trusted], rounds, penalty)
-    return Model(weights.astype(np.float32), bias, THRESHOLD)
+    return Model(weights.astype(np.float32), bias, threshold)
 
 
 def labelled(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
