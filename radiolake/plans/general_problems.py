@@ -151,7 +151,7 @@ f AS (SELECT g.address_id, g.s, coalesce(o.n, 0) AS n, CASE WHEN m.q > 1e-9 THEN
   CASE WHEN s0*s2 - s1*s1 > 0.1*s0*s2 AND s0 > 1e-9 THEN (s2*t0 - s1*t1) / (s0*s2 - s1*s1) WHEN s0 > 1e-9 THEN t0 / s0 END AS fit
   FROM g LEFT JOIN o ON o.address_id = g.address_id AND o.s = g.s LEFT JOIN m ON m.address_id = g.address_id AND m.s = g.s),
 t AS (SELECT *, CASE WHEN n > 0 THEN 'observed' WHEN support >= 1.5 THEN 'filled' ELSE 'missing' END AS status FROM f)
-SELECT address_id, s * 600 AS slot, CAST(n AS BIGINT) AS n_readings, round(CASE WHEN status <> 'missing' THEN fit END, 3) AS estimate, status FROM t
+SELECT address_id, s * 600 AS slot, CAST(n AS BIGINT) AS n_readings, round(CASE WHEN status <> 'missing' THEN fit END, 2) AS estimate, status FROM t
 """
 )
 
@@ -160,4 +160,4 @@ SELECT address_id, s * 600 AS slot, CAST(n AS BIGINT) AS n_readings, round(CASE
 def p7_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The level of each address on a grid of 600 s."""
     s = regular_series(read(spark, sf_dir, "packets"), "address_id", "ts", "rssi")
-    return s.select("address_id", "slot", "n_readings", F.round("estimate", 3).alias("estimate"), "status")
+    return s.select("address_id", "slot", "n_readings", F.round("estimate", 2).alias("estimate"), "status")
