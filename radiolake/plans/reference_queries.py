@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -415,9 +416,9 @@ ro AS (SELECT p.a, p.b, least(x.l, y.l) - greatest(x.f, y.f) > 0 AS overlap, lea
 rot AS (SELECT a, b, CASE WHEN bool_or(overlap) THEN -1.0 ELSE max(CASE WHEN gap IS NULL OR gap > 1800 THEN 0.0 WHEN gap < 0.05 THEN 0.5 ELSE greatest(0.0, 1 - abs(gap - 900) / 900) END) END::DOUBLE AS score FROM ro GROUP BY a, b)"""
 
 
-def _rotations(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+def _rotations(spark: SparkSession, sf_dir: str, pairs: DataFrame, **parameters: float) -> DataFrame:
     rotating = signals.latest_address(read(spark, sf_dir, "addresses")).filter("address_type = 'rpa'").select(F.col("device_id").alias("id"))
-    return signals.rotations(pairs, signals.presence(_heard(spark, sf_dir)), rotating)
+    return signals.rotations(pairs, signals.presence(_heard(spark, sf_dir)), rotating, **parameters)
 
 
 @query(f"WITH {_PAIRS}, {_ROTATE} SELECT a, b, round(score, 6) AS score FROM rot")
@@ -462,6 +463,48 @@ def q58_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.counters(_decided(spark, sf_dir))
 
 
+def _per_profile(pairs: DataFrame, signal: str, defaults: dict[str, float], make: Callable[..., DataFrame]) -> DataFrame:
+    """Scores of a signal for the pairs whose profile weighs it, each with its profile's parameters (``defaults`` where it sets none)."""
+    values = {n: profiles.parameter(_PROFILES, signal, n, d) for n, d in defaults.items()}
+    alike: dict[tuple[float, ...], list[str]] = {}
+    for name, p in _PROFILES.items():
+        if signal in p["weights"]:
+            alike.setdefault(tuple(values[n].get(name, d) for n, d in defaults.items()), []).append(name)
+    profile = candidates.profile_of(F.col("device_class"), _PROFILES)
+    return reduce(DataFrame.unionByName, [make(pairs.filter(profile.isin(names)), **dict(zip(defaults, v))) for v, names in alike.items()])
+
+
+def _decided_by_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = materialize(_pairs(spark, sf_dir), "pairs")  # read by every signal
+    keys = ["device_id", "ad_type", "ad_value"]
+    entries, heard = _entries(spark, sf_dir), _heard(spark, sf_dir)
+    told = materialize(observe.vocabulary(entries, keys), "vocabulary")
+    timed = materialize(observe.vocabulary(entries.filter(is_valid_time(F.col("ts"))), keys), "vocabulary")  # broken clocks tell no handoff
+    make: dict[str, tuple[dict[str, float], Callable[..., DataFrame]]] = {
+        "service_uuid_match": ({}, lambda p: signals.services(p, told)),
+        "mfg_data_prefix": ({}, lambda p: signals.maker_prefix(p, told)),
+        "apple_continuity": ({"min_bytes": 8.0}, lambda p, min_bytes: signals.continuity(p, told, int(min_bytes))),
+        "continuity_seq_carryover": ({"max_gap": 5.0, "max_dt": 600.0}, lambda p, **kw: signals.sequences(p, timed, **kw)),
+        "co_lifespan_match": ({}, lambda p: signals.lifespans(p, views.observed(spark, sf_dir))),
+        "rotation_cohort": ({"expected": 900.0, "least": 0.05, "most": 1800.0}, lambda p, **kw: _rotations(spark, sf_dir, p, **kw)),
+        "rssi_signature": ({"min_sniffers": 2.0, "floor": 1.5, "z_full": 4.0, "window": 30.0}, lambda p, window, **kw: signals.levels(p, signals.recent_levels(heard, window), **kw)),
+    }
+    scores = {signal: _per_profile(pairs, signal, defaults, f) for signal, (defaults, f) in make.items()}
+    return cascade.decide(pairs, cascade.gather(scores), profiles.rules(spark, _PROFILES), _PROFILES)
+
+
+@query()
+def q79_cascade_all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CL-1, CL-2, SG-1 to SG-7: the decision on each candidate pair from all seven signals, with the parameters of its class."""
+    return _decided_by_all(spark, sf_dir).drop("contributions").withColumn("score", F.round("score", 6))
+
+
+@query()
+def q80_all_signals_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-13, CL-3: merges, rejections and abstentions by class and reason, all signals counted."""
+    return cascade.counters(_decided_by_all(spark, sf_dir))
+
+
 _MERGED = "SELECT a_id AS a, b_id AS b FROM merge_decisions WHERE is_merge AND a_id <> b_id"
 
 
