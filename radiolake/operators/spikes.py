@@ -263,10 +263,10 @@ def suspicious_readings(spark: SparkSession, packets: DataFrame, source: str = "
     counts = materialize(clean.groupBy("source", "minute", "value").agg(F.count(F.lit(1)).alias("n")), "spike-counts")
     levels = materialize(_spread_days(counts).groupBy("source", "day").applyInPandas(_levels, "source long, minute long, lo int, hi int"), "spike-levels")
 
-    first, last = floor_div(F.col("c0") - 64, block), floor_div(F.col("c0") + F.col("n") + 64, block)
+    first, last = floor_div(F.col("c0") - halo, block), floor_div(F.col("c0") + F.col("n") + halo, block)
     markers = levels.join(offsets, ["source", "minute"]).withColumn("blk", F.explode(F.sequence(first, last)))
     none = lambda t: F.lit(None).cast(t)
-    chains = in_blocks(readings, 64).select("source", "blk", "us", "id", "minute", "value", "stuck", "core", none("int").alias("lo"), none("int").alias("hi"))
+    chains = in_blocks(readings, halo).select("source", "blk", "us", "id", "minute", "value", "stuck", "core", none("int").alias("lo"), none("int").alias("hi"))
     chains = chains.unionByName(
         markers.select("source", "blk", (F.col("minute") * MINUTE * MICROS).alias("us"), F.lit(-1).cast("long").alias("id"), "minute", F.lit(0).alias("value"), F.lit(False).alias("stuck"), F.lit(False).alias("core"), "lo", "hi")
     )

@@ -75,6 +75,14 @@ def test_many_copies_widen_the_halo(spark, rng):
     assert run(spark, rows, block=128) == brute(rows)
 
 
+@pytest.mark.parametrize("before", [40, 41, 43])
+def test_a_run_of_many_copies_across_block_edges(spark, before):
+    rows = [(i, 1, T0 + 10.0 * i, -60 - i % 5) for i in range(before)] + [(100 + i, 1, T0 + 500.0 + i, -62) for i in range(12)] + [(200 + i, 1, T0 + 600.0 + 10.0 * i, -60 - i % 5) for i in range(40)]
+    rows += [r for r in rows if 100 <= r[0] < 112 for _ in range(90)]
+    got = run(spark, rows, block=128)
+    assert got == brute(rows) and set(range(100, 112)) <= set(got)
+
+
 def test_sparse_readings(spark, rng):
     rows = made(rng, 60, sniffers=2, days=20)
     assert run(spark, rows) == brute(rows)
