@@ -39,11 +39,15 @@ _TOTALS = f"""WITH {views.OBSERVED}, t AS (SELECT o.device_id, CAST(sum(packet_c
   FROM obs o JOIN sessions s ON s.id = o.session_id JOIN devices d ON d.id = o.device_id WHERE s.project_id = {PROJECT} GROUP BY o.device_id)"""
 
 
-def _project_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sessions = read(spark, sf_dir, "sessions").filter(F.col("project_id") == PROJECT).select(F.col("id").alias("session_id"))
+def _totals_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = read(spark, sf_dir, "sessions").select(F.col("id").alias("session_id"), "project_id")
     known = read(spark, sf_dir, "devices").select(F.col("id").alias("device_id"))
     obs = views.observed(spark, sf_dir).join(sessions, "session_id").join(known, "device_id")
-    return observe.totals(obs, ["device_id"]).withColumn("rssi_avg", F.round("rssi_avg", 6))
+    return observe.totals(obs, ["project_id", "device_id"]).withColumn("rssi_avg", F.round("rssi_avg", 6))
+
+
+def _project_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _totals_by_project(spark, sf_dir).filter(F.col("project_id") == PROJECT).drop("project_id")
 
 
 @query(_TOTALS + " SELECT * FROM t")
@@ -52,6 +56,16 @@ def q01_device_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _project_totals(spark, sf_dir)
 
 
+@query(
+    f"""WITH {views.OBSERVED} SELECT s.project_id, o.device_id, CAST(sum(packet_count) AS BIGINT) AS packet_count, CAST(sum(adv_count) AS BIGINT) AS adv_count, CAST(sum(data_count) AS BIGINT) AS data_count,
+    min(rssi_min) AS rssi_min, max(rssi_max) AS rssi_max, round(sum(rssi_sum) / sum(rssi_samples), 6) AS rssi_avg, min(o.first_seen) AS first_seen, max(o.last_seen) AS last_seen
+    FROM obs o JOIN sessions s ON s.id = o.session_id JOIN devices d ON d.id = o.device_id GROUP BY s.project_id, o.device_id"""
+)
+def q81_totals_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-1, AG-4: what each device of every project sent over all sessions."""
+    return _totals_by_project(spark, sf_dir)
+
+
 @query(f"WITH {views.OBSERVED} SELECT * FROM obs")
 def q02_observation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-1: counters per session and device."""
