@@ -287,7 +287,8 @@ def q15_interval_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "documents").filter("source = 'capture_log'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
+    name = F.lower(F.regexp_replace("source", r"^\s+|\s+$", ""))  # sources are sometimes badly written
+    lines = read(spark, sf_dir, "documents").filter(name == "capture_log").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
     return lines.select("doc_id", "no", text.log_line(F.col("raw")).alias("l")).filter("l is not null").select("doc_id", "no", "l.*")
 
 
