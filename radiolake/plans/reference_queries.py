@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from radiolake.functions import continuity, frames, identity, radio, roles, text
 from radiolake.operators import asof, candidates, cascade, clusters, components, inventory, mining, monitors, observe, readmodel, signals, upserts
 from radiolake.plans import views
-from radiolake.runtime import TIME_FROM, TIME_TO, is_valid_time, materialize, read, shared_dir
+from radiolake.runtime import TIME_FROM, TIME_TO, fresh_folder, is_valid_time, materialize, read
 from radiolake.sources import dimensions, profiles
 from radiolake.streaming import rollup, stateful
 
@@ -852,16 +852,10 @@ def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return reader.parquet(f"{sf_dir}/{table}.parquet") if folder else reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
-def _fresh_folder(spark: SparkSession, label: str) -> str:
-    import uuid
-
-    return f"{shared_dir(spark)}/radiolake/{label}-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {views.OBSERVED} SELECT session_id, device_id, packet_count, adv_count, rssi_sum, rssi_samples, first_seen, last_seen FROM obs")
 def q44_stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SM-2, SNK-2: the observation rollup, from a stream."""
-    root, keys = _fresh_folder(spark, "stream-rollup"), ["session_id", "device_id"]
+    root, keys = fresh_folder(spark, "stream-rollup"), ["session_id", "device_id"]
     rollup.observe_stream(_stream(spark, sf_dir, "packets"), f"{root}/observations", f"{root}/checkpoint", keys, F.col("pdu_type").between(0, 7)).awaitTermination()
     return rollup.observed(spark, f"{root}/observations", keys).select(*keys, "packet_count", "adv_count", "rssi_sum", "rssi_samples", "first_seen", "last_seen")
 
@@ -869,7 +863,7 @@ def q44_stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_CREDIT + " SELECT seq, credited FROM c")
 def q45_stream_crc_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SM-3: corrupted packets credited by a stateful stream."""
-    root = _fresh_folder(spark, "stream-credit")
+    root = fresh_folder(spark, "stream-credit")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKS)
     e = _stream(spark, sf_dir, "events")
     packets = e.select(

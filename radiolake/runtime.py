@@ -14,7 +14,11 @@ MICROS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or (only where that is unset) a temporary one."""
+    """The folder all executors share, read from the session's ``spark.checkpoint.dir``.
+
+    Only a session inside one process (``local[...]``, as in tests) may do without: it gets a temporary folder of this machine. On a cluster executors
+    couldn't read each other's files there, so a missing setting is an error.
+    """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -22,29 +26,52 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir isn't set: it must name a folder that all executors of {sc.master} share")
     own = tempfile.mkdtemp(prefix="radiolake-")
     sc.setCheckpointDir("file://" + own)
     return "file://" + own
 
 
+def _path(spark: SparkSession, name: str):
+    """A path and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name under the application's own one in the shared folder, which goes when the application ends (or by :func:`discard`)."""
+    root = f"{shared_dir(spark)}/radiolake/{spark.sparkContext.applicationId}"
+    path, fs = _path(spark, root)
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all intermediate tables of the application at once, for sessions that live long; results not yet written can't be read afterwards."""
+    path, fs = _path(spark, f"{shared_dir(spark)}/radiolake/{spark.sparkContext.applicationId}")
+    fs.delete(path, True)
+
+
 class Stage:
     """A table written to the shared folder, so that later jobs neither recompute it nor depend on an executor."""
 
-    def __init__(self, df: DataFrame, label: str, keep: bool = True):
+    def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/radiolake/{label}-{uuid.uuid4().hex}"
+        self.path = fresh_folder(self.spark, label)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Delete the files; only for tables that no later plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = _path(self.spark, self.path)
+        fs.delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors. The files go with the application."""
     return Stage(df, label).df
 
 
