@@ -105,9 +105,7 @@ _HEAVY = "SELECT '{0}' AS key_column, {0} AS key_value FROM packets WHERE {0} IS
 @query(_HEAVY.format("device_id") + " UNION ALL " + _HEAVY.format("session_id"))
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that hold more than a twentieth of all stored packet rows."""
-    packets = read(spark, sf_dir, "packets")
-    parts = [heavy_keys(packets, k, "rssi").select(F.lit(k).alias("key_column"), F.col("key").alias("key_value")) for k in ("device_id", "session_id")]
-    return parts[0].unionAll(parts[1])
+    return heavy_keys(value_frequencies(read(spark, sf_dir, "packets"), ["device_id", "session_id"], "rssi")).select("key_column", F.col("key").alias("key_value"))
 
 
 _PROFILE = """
@@ -122,9 +120,7 @@ FROM c GROUP BY key
 @query(_PROFILE.format("device_id") + " UNION ALL " + _PROFILE.format("session_id").replace("WITH f", "SELECT * FROM (WITH f") + ")")
 def p6_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact distinct counts, modes and percentiles of the level per device and per session."""
-    packets, wanted = read(spark, sf_dir, "packets"), {"p50": 0.5, "p90": 0.9}
-    parts = [profile(value_frequencies(packets, k, "rssi"), wanted).withColumnRenamed("key", "key_value").select(F.lit(k).alias("key_column"), "*") for k in ("device_id", "session_id")]
-    return parts[0].unionByName(parts[1])
+    return profile(value_frequencies(read(spark, sf_dir, "packets"), ["device_id", "session_id"], "rssi"), {"p50": 0.5, "p90": 0.9}).withColumnRenamed("key", "key_value")
 
 
 _SLOTS = f"""

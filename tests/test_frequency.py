@@ -1,6 +1,8 @@
 import math
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from radiolake.operators.frequency import heavy_keys, profile, value_frequencies
 
 SCHEMA = "device_id long, rssi int, key string, value string, n int"
@@ -30,6 +32,17 @@ def test_hot_key_of_many_distinct_values(spark):
 
 def test_heavy_keys(spark, as_rows):
     rows = [(1, 5)] * 10 + [(2, None)] * 6 + [(3, 1)] * 5 + [(None, 1)] * 79
-    assert as_rows(heavy_keys(frame(spark, rows), "device_id", "rssi")) == [(1, 10), (2, 6)]
-    assert as_rows(heavy_keys(frame(spark, []), "device_id", "rssi")) == []
+    assert as_rows(heavy_keys(value_frequencies(frame(spark, rows), "device_id", "rssi"))) == [(1, 10), (2, 6)]
+    assert as_rows(heavy_keys(value_frequencies(frame(spark, []), "device_id", "rssi"))) == []
     assert as_rows(profile(value_frequencies(frame(spark, []), "device_id", "rssi"))) == []
+
+
+def test_several_key_columns_share_a_scan(spark, rng, as_rows):
+    df = spark.createDataFrame([(rng.choice([1, 1, 2, None]), rng.choice([7, 8]), rng.choice([None, -60, -61, -70])) for _ in range(500)], "a long, b int, v int")
+    both = value_frequencies(df, ["a", "b"], "v")
+    columns = ["key", "n_rows", "n_values", "n_distinct", "mode", "p50"]
+    for k in ("a", "b"):
+        one = value_frequencies(df, k, "v")
+        assert as_rows(profile(both).filter(F.col("key_column") == k), *columns) == as_rows(profile(one), *columns)
+        assert as_rows(heavy_keys(both, 0.3).filter(F.col("key_column") == k), "key", "n_rows") == as_rows(heavy_keys(one, 0.3), "key", "n_rows")
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
