@@ -58,11 +58,11 @@ def profile(frequencies: DataFrame, fractions: dict[str, float] | None = None) -
 def heavy_keys(frequencies: DataFrame, share: float = 0.05) -> DataFrame:
     """``[key_column,] key, n_rows``: keys that hold more than ``share`` of all rows, from :func:`value_frequencies`.
 
-    Null keys count in the whole, then are left out. The counts per key are written once; the whole (one row per key column) is summed from them,
-    so the rows are scanned once whatever the number of key columns.
+    Null keys count in the whole, but have no row. The whole (one row per key column) is summed from the same counts per key, whose shuffle both sides of
+    the join read: no condition on the key reaches down to it, or the two sides would each scan the rows.
     """
     by = _by(frequencies)
-    counts = materialize(frequencies.groupBy(*by).agg(F.sum("n").alias("n_rows")), "key-counts")
+    counts = frequencies.groupBy(*by).agg(F.sum("n").alias("n_rows"))
     whole = counts.groupBy(*by[:-1]).agg(F.sum("n_rows").alias("all_rows"))
     joined = counts.join(F.broadcast(whole), by[:-1]) if by[:-1] else counts.join(F.broadcast(whole))  # a row per key column
-    return joined.filter(F.col("key").isNotNull() & (F.col("n_rows") > F.col("all_rows") * share)).select(*by, "n_rows")
+    return joined.filter(F.when(F.col("key").isNotNull(), F.col("n_rows")) > F.col("all_rows") * share).select(*by, "n_rows")
