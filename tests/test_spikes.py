@@ -3,7 +3,7 @@ import statistics
 import numpy as np
 import pytest
 
-from radiolake.operators.spikes import START, TRANSITION, forward_backward, suspicious_readings
+from radiolake.operators.spikes import Model, suspicious_readings
 
 T0 = 1735689600
 SCHEMA = "id long, sniffer_id long, ts double, rssi int, source string, blk int, pos int"
@@ -107,14 +107,14 @@ def test_empty_and_only_null(spark):
 
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(1)
-    e = rng.random((5, 2, 4))
-    p = forward_backward(e)
+    e, model = rng.random((5, 2, 4)), Model()
+    p = model.forward_backward(e)
     for c in range(2):
         total = np.zeros((5, 4))
         for path in np.ndindex(4, 4, 4, 4, 4):
-            w = START[path[0]] * e[0, c, path[0]]
+            w = model.start[path[0]] * e[0, c, path[0]]
             for t in range(1, 5):
-                w *= TRANSITION[path[t - 1], path[t]] * e[t, c, path[t]]
+                w *= model.transition[path[t - 1], path[t]] * e[t, c, path[t]]
             for t in range(5):
                 total[t, path[t]] += w
         assert np.allclose(p[:, c], total / total.sum(axis=1, keepdims=True))
@@ -125,3 +125,24 @@ def test_reasons(spark, as_rows):
     df = spark.createDataFrame(rows, "id long, sniffer_id long, ts double, rssi int")
     got = as_rows(suspicious_readings(spark, df), "id", "reason")
     assert got == [(100, "spike"), (101, "range"), *[(200 + i, "stuck") for i in range(12)]]
+
+
+def without(state):
+    """The model without one state: nothing leads to it and nothing starts in it."""
+    model = Model()
+    transition, start = model.transition.copy(), model.start.copy()
+    transition[:, state] = start[state] = 0
+    return Model(transition / transition.sum(axis=1, keepdims=True), start / start.sum())
+
+
+def test_the_model_decides(spark, rng):
+    rows = made(rng, 3000)
+    df = spark.createDataFrame(rows, "id long, sniffer_id long, ts double, rssi int")
+    reasons = lambda m: {r["id"]: r["reason"] for r in suspicious_readings(spark, df, block=256, model=m).collect()}
+    whole = reasons(Model())
+    assert sorted(whole) == brute(rows) and set(whole.values()) == {"spike", "stuck", "range"}
+    for state, name in ((1, "spike"), (2, "stuck")):
+        assert name not in reasons(without(state)).values()  # neither bounds nor runs flag what the model can't be in
+    shy = reasons(Model(anywhere=1e-16))  # spikes less likely than a normal reading that far off
+    assert "spike" not in shy.values() and [i for i, r in whole.items() if r == "range"] == [i for i, r in shy.items() if r == "range"]
+    assert set(reasons(Model(repeats=1.0, repeated=1e-9)).values()) == {"spike", "range"}  # a receiver that repeats itself in health
