@@ -73,3 +73,23 @@ def test_scores_of_odd_rows(spark, labelled):
     got = sorted((r["doc_id"], r["abusive"], r["score"] is None) for r in abuse.score(spark, docs, model).collect())
     assert got == [(1, True, False), (1, True, False), (2, False, True), (3, False, True), (4, False, True), (5, False, True)]
     assert abuse.score(spark, docs.limit(0), model).collect() == []
+
+
+def test_folds_fitted_by_tasks_give_the_same_classifier(spark, labelled):
+    texts, y = labelled[0][:300], labelled[1][:300]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    votes = spark.createDataFrame([(i, "r", int(v), "x") for i, v in enumerate(y)], "doc_id long, rater string, abusive int, category string")
+    rows = abuse.labelled(docs, votes).toPandas()
+    here, there = abuse.fit(rows["text"].tolist(), rows["share"].to_numpy()), abuse.train(docs, votes)
+    assert here.threshold == there.threshold and np.array_equal(here.weights, there.weights)
+    assert abuse.labelled(docs, votes, 7).count() == 7
+
+
+def test_sentences_of_ascii_and_other_texts_alike():
+    rng = random.Random(4)
+    letters = "aaab cC1$@.!?-_*  \n\r\t\"'():=)]éо·。0５​\x1c"
+    for _ in range(2000):
+        t = "".join(rng.choice(letters) for _ in range(rng.randrange(40)))
+        wide = [p for s in abuse.ENDS.split(t) if (p := abuse.plain(s)) and any(map(str.isalpha, p))]  # the pattern for all scripts, letters spaced out looked for everywhere
+        assert abuse.sentences(t) == wide
+    assert abuse.sentences_of(["you w o r m s", None, "", "tidy text", "a-b-c-d-e"]) == [["you worms"], [], [], ["tidy text"], ["abcde"]]
