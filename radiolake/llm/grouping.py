@@ -2,102 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from math import ceil, sqrt
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from radiolake.runtime import Stage
+from radiolake.operators.components import CELL_LINKS, contract, local_forests
 
-#: Pairs one grid cell should hold at most on average; the grid's side follows from it and the number of pairs.
-CELL_PAIRS = 500_000
 
+def grid_side(n: int, cell_pairs: int, cores: int = 1) -> int:
+    """Blocks of vertices: enough for cells of about ``cell_pairs`` pairs, and where there is work for them (a hundredth of that a cell) for all cores to have cells."""
+    return max(1, ceil(sqrt(n / cell_pairs)), min(ceil(sqrt(cores)), int(sqrt(n * 100 / cell_pairs))))
 
-def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union-find over one cell's pairs: each vertex with the smallest vertex of its local component, where that is another."""
-    vertices, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    parent = list(range(len(vertices)))
 
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
-        x, y = find(x), find(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    root = np.fromiter(map(find, range(len(parent))), dtype=np.int64, count=len(parent))
-    moved = np.flatnonzero(root != np.arange(len(root)))
-    return vertices[moved], vertices[root[moved]]
-
-
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Local union-find on each cell of the stream, which is sorted by cell."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    now = None
-
-    def done() -> pa.RecordBatch:
-        v, r = _roots(*(np.concatenate(x) for x in zip(*held)))
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(r, pa.int64())], names=["v", "r"])
-
-    for batch in batches:
-        cell, a, b = (batch.column(i).to_numpy() for i in range(3))
-        cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else []
-        for i, j in zip(cuts, [*cuts[1:], len(cell)]):
-            if held and cell[i] != now:
-                yield done()
-            now = cell[i]
-            held.append((a[i:j], b[i:j]))
-    if held:
-        yield done()
-
-
-def consolidate(pairs: DataFrame, a: str, b: str, cell_pairs: int = CELL_PAIRS) -> DataFrame:
+def consolidate(pairs: DataFrame, a: str, b: str, cell_pairs: int = CELL_LINKS) -> DataFrame:
     """``group_id, member`` for every record linked to another, directly or through others; the group is its smallest member.
 
     Method: vertices are hashed to ``side`` blocks, and the pairs between two blocks form one cell of a grid. Every cell runs
-    union-find on its own pairs, which are all one task holds. A vertex then has a representative from each cell of its row and
-    column; the smallest becomes its parent, the others are linked to that parent, and all are moved on to their parents'
-    parents. This repeats on the fewer links that are left until no representative changes. A hub is
-    spread over ``side`` cells, and no step collects a component or pairs its members.
+    union-find on its own pairs. A vertex then has a representative from each cell of its row and
+    column; the first of them (in a fixed random order) becomes its parent, the others are linked to that parent, and vertices that represent no other leave. The next round has
+    the links that are left, on a grid for their number, until none is left (:func:`radiolake.operators.components.contract`). A hub is
+    spread over the cells of its row and column, cells with more than twice their share are cut, and no step collects a component or pairs its members.
 
     Defined results: pairs with a null end and pairs of a record with itself link nothing; repeats and either order count once; no pairs, no
     groups. Ids are LONG. Other columns are not read.
     """
-    x, y = F.col("a"), F.col("b")
-    links = Stage(
-        pairs.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter(x.isNotNull() & y.isNotNull() & (x != y)).select(F.least(x, y).alias("b"), F.greatest(x, y).alias("a")).distinct().select("a", "b"),
-        "links",
-    )
-    side = max(1, int(np.ceil(np.sqrt(links.df.count() / cell_pairs))))
-
-    def block(v: Column) -> Column:
-        return F.pmod(F.xxhash64(v), F.lit(side))
-
-    while True:
-        cell = F.least(block(x), block(y)) * side + F.greatest(block(x), block(y))
-        local = Stage(links.df.select(cell.alias("cell"), "a", "b").repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells, "v long, r long"), "representatives")
-        parents = local.df.groupBy("v").agg(F.min("r").alias("p"))
-        crossing = local.df.join(parents, "v").filter("r <> p").select(F.col("r").alias("a"), F.col("p").alias("b")).distinct()
-        after = Stage(parents.select("v", "p"), "parents")
-        onward = after.df.select(F.col("v").alias("q"), F.col("p").alias("pp"))
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
 
-        def moved(df: DataFrame, end: str, target: DataFrame = onward) -> DataFrame:
-            return df.join(target, F.col(end) == F.col("q"), "left").withColumn(end, F.coalesce("pp", end)).drop("q", "pp")
+    def on_grid(links: DataFrame, n: int) -> DataFrame:
+        side = grid_side(n, cell_pairs, cores)
+        block = lambda v: F.pmod(F.xxhash64(F.lit(2), v), F.lit(side))
+        x, y = block(F.col("a")), block(F.col("b"))
+        cell: Column = F.least(x, y) * side + F.greatest(x, y)
+        return local_forests(links, cell, cell_pairs)
 
-        open_links = moved(moved(crossing, "a"), "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(True).alias("open"))
-        stars = after.df.join(onward, F.col("p") == F.col("q"), "left").select(F.col("v").alias("a"), F.coalesce("pp", "p").alias("b"), F.col("pp").isNotNull().alias("open"))
-        watch = Observation()
-        nxt = Stage(stars.unionByName(open_links).groupBy("a", "b").agg(F.max("open").alias("open")).observe(watch, F.count_if("open").alias("n")).select("a", "b"), "links")
-        for old in (links, local, after):
-            old.drop()
-        links = nxt
-        if not watch.get["n"]:
-            break
-    members = links.df.select(F.col("b").alias("group_id"), F.col("a").alias("member"))
-    return members.unionByName(members.select("group_id", F.col("group_id").alias("member")).distinct())
+    return contract(pairs, a, b, on_grid).select(F.col("root").alias("group_id"), "member")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from radiolake.llm.grouping import consolidate
+from radiolake.llm.grouping import consolidate, grid_side
 
 
 def brute(pairs):
@@ -49,3 +49,20 @@ def test_hub_and_negative_ids(spark):
 
 def test_nothing_linked(spark):
     assert run(spark, []) == [] == run(spark, [(1, 1), (None, None)])
+
+
+def test_one_group_holds_most_vertices(spark):
+    """A hub of 40,000 members, far more than a cell may hold: the greatest union-find stays at its bound, and every member is found."""
+    rng = random.Random(3)
+    pairs = [(-7, i) for i in range(40_000)] + [(50_000 + i, rng.randrange(40_000)) for i in range(2_000)] + [(90_000, 90_001)]
+    got = consolidate(spark.createDataFrame(pairs, "a_id long, b_id long"), "a_id", "b_id", cell_pairs=1000)
+    assert got.groupBy("group_id").count().rdd.collectAsMap() == {-7: 42_001, 90_000: 2}
+
+
+def test_monotone_chain_ends(spark):
+    pairs = [(i, i + 1) for i in range(3000)]
+    assert run(spark, pairs, cell_pairs=50) == [(0, i) for i in range(3001)]
+
+
+def test_grid_grows_with_pairs_and_cores():
+    assert grid_side(100, 500_000, 12) == 1 and grid_side(400_000, 500_000, 12) == 4 and grid_side(10**9, 500_000, 12) == 45
