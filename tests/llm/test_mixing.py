@@ -3,17 +3,38 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from radiolake.llm.mixing import mix, split_quotas
+from radiolake.llm.mixing import Shards, mix, sharded, split_quotas
 
 
-def test_quotas_are_exact():
-    blocks = [1000, 37, 0, 1, 250]
+def even(total, shards):
+    return [total * k // shards for k in range(shards + 1)]
+
+
+@pytest.mark.parametrize("blocks", [[1000, 37, 0, 1, 250], [3_000_000_000, 40, 0, 1, 1_700_000_001]])
+def test_quotas_are_exact(blocks):
     for shards in (1, 2, 7, 64):
-        q = split_quotas(blocks, shards)
+        ends = even(sum(blocks), shards)
+        q = split_quotas(blocks, ends)
         assert q.sum(axis=0).tolist() == blocks
-        assert q.sum(axis=1).max() - q.sum(axis=1).min() <= 1
+        assert q.sum(axis=1).tolist() == np.diff(ends).tolist()
         assert (q >= 0).all()
-    assert np.array_equal(split_quotas(blocks, 7), split_quotas(blocks, 7))
+    assert np.array_equal(split_quotas(blocks, ends), split_quotas(blocks, ends))
+
+
+def test_quotas_follow_the_shares():
+    q = split_quotas([4_000_000_000, 1_000_000_000], even(5_000_000_000, 50))
+    assert abs(q[:, 1] / q.sum(axis=1) - 0.2).max() < 0.001
+
+
+@pytest.mark.parametrize("groups", [1, 5, 37, 4096])
+def test_every_block_lies_in_the_shard_of_its_quota(spark, groups):
+    shards = Shards.of([900, 13, 287], 37, 5, groups)
+    rows = spark.createDataFrame([(i, s, 7) for i, n in enumerate(shards.blocks) for s in range(n)], "number int, spot long, other int").repartition(5)
+    got = [(r["shard"], r["number"], r["spot"]) for r in sharded(spark, rows, shards).collect()]
+    assert len(got) == 1200
+    size = Counter(s for s, _, _ in got)
+    assert [size[k] for k in range(37)] == np.diff(even(1200, 37)).tolist()
+    assert [s for s, i, _ in sorted(got, key=lambda g: g[1:]) if i == 0] == sorted(s for s, i, _ in got if i == 0)  # disjoint ranges in order
 
 
 def frame(spark, docs):
@@ -60,6 +81,12 @@ def test_same_mix_again(spark, tables):
     assert key(mix(spark, *tables)[0]) == key(mix(spark, *tables)[0])
 
 
+def test_groups_of_shards_make_the_same_kind_of_mix(spark, tables):
+    mixed, report = mix(spark, *tables, block_tokens=128, blocks_per_shard=2, most_groups=3)
+    shards = {r["shard"] for r in mixed.collect()}
+    assert len(shards) > 20 and {r["source"]: r["most_copies"] for r in report.collect()}["small"] == 3
+
+
 def test_smaller_total(spark, tables):
     _, report = mix(spark, *tables, total_tokens=3000)
     assert sum(r["tokens_mixed"] for r in report.collect()) == pytest.approx(3000, abs=200)
