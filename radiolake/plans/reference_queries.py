@@ -19,7 +19,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 VALID = f"ts >= {TIME_FROM} AND ts < {TIME_TO}"
-PROJECT = 1
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -36,24 +35,24 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 _TOTALS = f"""WITH {views.OBSERVED}, t AS (SELECT o.device_id, CAST(sum(packet_count) AS BIGINT) AS packet_count, CAST(sum(adv_count) AS BIGINT) AS adv_count, CAST(sum(data_count) AS BIGINT) AS data_count,
   min(rssi_min) AS rssi_min, max(rssi_max) AS rssi_max, round(sum(rssi_sum) / sum(rssi_samples), 6) AS rssi_avg, min(o.first_seen) AS first_seen, max(o.last_seen) AS last_seen
-  FROM obs o JOIN sessions s ON s.id = o.session_id JOIN devices d ON d.id = o.device_id WHERE s.project_id = {PROJECT} GROUP BY o.device_id)"""
+  FROM obs o JOIN sessions s ON s.id = o.session_id JOIN devices d ON d.id = o.device_id GROUP BY o.device_id)"""
 
 
-def _totals_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _totals(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
     sessions = read(spark, sf_dir, "sessions").select(F.col("id").alias("session_id"), "project_id")
     known = read(spark, sf_dir, "devices").select(F.col("id").alias("device_id"))
     obs = views.observed(spark, sf_dir).join(sessions, "session_id").join(known, "device_id")
-    return observe.totals(obs, ["project_id", "device_id"]).withColumn("rssi_avg", F.round("rssi_avg", 6))
+    return observe.totals(obs, keys).withColumn("rssi_avg", F.round("rssi_avg", 6))
 
 
-def _project_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _totals_by_project(spark, sf_dir).filter(F.col("project_id") == PROJECT).drop("project_id")
+def _device_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _totals(spark, sf_dir, ["device_id"])
 
 
 @query(_TOTALS + " SELECT * FROM t")
 def q01_device_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-1, AG-4: what each device of a project sent over all sessions."""
-    return _project_totals(spark, sf_dir)
+    """JN-1, AG-4: what each device sent over all sessions of all projects."""
+    return _device_totals(spark, sf_dir)
 
 
 @query(
@@ -63,7 +62,7 @@ def q01_device_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q81_totals_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-1, AG-4: what each device of every project sent over all sessions."""
-    return _totals_by_project(spark, sf_dir)
+    return _totals(spark, sf_dir, ["project_id", "device_id"])
 
 
 @query(f"WITH {views.OBSERVED} SELECT * FROM obs")
@@ -196,7 +195,7 @@ pr AS (SELECT cluster_id, device_id FROM (SELECT mf.cluster_id, mf.device_id, ro
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _project_totals(spark, sf_dir).join(read(spark, sf_dir, "devices").select(F.col("id").alias("device_id"), "kind"), "device_id")
+    return _device_totals(spark, sf_dir).join(read(spark, sf_dir, "devices").select(F.col("id").alias("device_id"), "kind"), "device_id")
 
 
 @query(_FACTS + " SELECT cluster_id, device_id FROM pr")
@@ -292,7 +291,7 @@ def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "no", text.log_line(F.col("raw")).alias("l")).filter("l is not null").select("doc_id", "no", "l.*")
 
 
-_LINES = f"""ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents WHERE source = 'capture_log'), ps AS (SELECT doc_id, regexp_replace(raw, '[\\r\\n]+$', '') AS line FROM ln WHERE regexp_matches(raw, '\\S')),
+_LINES = f"""ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents WHERE lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) = 'capture_log'), ps AS (SELECT doc_id, regexp_replace(raw, '[\\r\\n]+$', '') AS line FROM ln WHERE regexp_matches(raw, '\\S')),
 lg AS (SELECT doc_id, regexp_matches(line, '{text.LINE}') AS fits, nullif(regexp_extract(line, '{text.LINE}', 2), '') AS level, CASE WHEN regexp_matches(line, '{text.LINE}') THEN regexp_extract(line, '{text.LINE}', 3) ELSE line END AS body FROM ps)"""
 
 
@@ -336,8 +335,7 @@ def q43_template_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Pairs, signals, decisions
 
-_PAIRS = f"""{views.DEVICES}, capped AS (SELECT device_class FROM dev WHERE device_class IS NOT NULL GROUP BY device_class HAVING count(*) <= 1500),
-pairs AS (SELECT x.id AS a, y.id AS b, x.device_class FROM dev x JOIN dev y ON x.device_class = y.device_class AND x.id < y.id WHERE x.device_class IN (SELECT device_class FROM capped))"""
+_PAIRS = f"""{views.DEVICES}, pairs AS (SELECT x.id AS a, y.id AS b, x.device_class FROM dev x JOIN dev y ON x.device_class = y.device_class AND x.id < y.id)"""
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,7 +388,7 @@ def q21_type_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LIFE = f"""WITH {views.OBSERVED}, {_PAIRS}, w AS (SELECT p.a, p.b, least(x.last_seen, y.last_seen) - greatest(x.first_seen, y.first_seen) AS shared, greatest(x.last_seen, y.last_seen) - least(x.first_seen, y.first_seen) AS whole
-  FROM pairs p JOIN obs x ON x.device_id = p.a JOIN obs y ON y.device_id = p.b AND y.session_id = x.session_id),
+  FROM pairs p JOIN obs x ON x.device_id = p.a JOIN obs y ON y.device_id = p.b AND y.session_id = x.session_id WHERE x.first_seen IS NOT NULL AND y.first_seen IS NOT NULL),
 life AS (SELECT a, b, max(CASE WHEN shared > 0 THEN CASE WHEN shared / whole >= 0.9 THEN 0.95 WHEN shared / whole >= 0.5 THEN 0.4 ELSE 0.0 END WHEN -shared > 60 THEN NULL WHEN -shared <= 5 THEN 0.95 ELSE 0.95 - 0.5 * (-shared - 5.0) / 55.0 END)::DOUBLE AS score FROM w GROUP BY a, b)"""
 
 
@@ -446,29 +444,103 @@ _PROFILES = profiles.load()
 _RULES = ", ".join(
     f"('{n}', '{s}', {i}, {w}::DOUBLE, {p['threshold']}::DOUBLE, {p['min_total_weight']}::DOUBLE, {s in p['required_for_merge']}, {s in p['required_eventually']}, {s in p['decisive_signals']})" for n, p in _PROFILES.items() for i, (s, w) in enumerate(p["weights"].items())
 )
-_CASCADE = f"""{_LIFE}, {_LEVELS}, {_ROTATE},
+#: Parameters of signals by profile, with the defaults of classes that set none.
+_PARAMETERS = {
+    "rotation_cohort": {"expected": 900.0, "least": 0.05, "most": 1800.0}, "rssi_signature": {"window": 30.0, "min_sniffers": 2.0, "floor": 1.5, "z_full": 4.0},
+    "apple_continuity": {"min_bytes": 8.0}, "continuity_seq_carryover": {"max_gap": 5.0, "max_dt": 600.0},
+}
+_SET = ", ".join("(" + ", ".join([f"'{n}'", *[f"{p['params'].get(s, {}).get(k, d)}::DOUBLE" for s, ks in _PARAMETERS.items() for k, d in ks.items()]]) + ")" for n, p in _PROFILES.items())
+
+# The seven signals for the pairs whose profile weighs them, with the profile's parameters. Vocabulary is hex text.
+_SEVEN = f"""{_LTV}, {views.OBSERVED}, {_PAIRS},
 rules AS (SELECT * FROM (VALUES {_RULES}) r(profile, signal, ord, weight, threshold, least, for_merge, eventually, decisive)),
-sc AS (SELECT a, b, 'co_lifespan_match' AS signal, score FROM life WHERE score IS NOT NULL UNION ALL SELECT a, b, 'rssi_signature', score FROM lev UNION ALL SELECT a, b, 'rotation_cohort', score FROM rot),
-it AS (SELECT p.a, p.b, p.device_class, r.*, CASE WHEN s.score IS NOT NULL THEN greatest(-1, least(1, s.score)) END AS s FROM pairs p JOIN rules r ON r.profile = CASE WHEN p.device_class IN (SELECT profile FROM rules) THEN p.device_class ELSE 'default' END LEFT JOIN sc s ON s.a = p.a AND s.b = p.b AND s.signal = r.signal),
-g AS (SELECT a, b, device_class, profile, any_value(threshold) AS threshold, any_value(least) AS least_w, string_agg(signal, ',' ORDER BY ord) FILTER (s IS NULL AND for_merge) AS fm, string_agg(signal, ',' ORDER BY ord) FILTER (s IS NULL AND NOT for_merge AND eventually) AS me,
+pm AS (SELECT * FROM (VALUES {_SET}) r(profile, {", ".join("recent" if k == "window" else k for ks in _PARAMETERS.values() for k in ks)})),
+pp AS (SELECT p.*, pm.* FROM pairs p JOIN pm ON pm.profile = CASE WHEN p.device_class IN (SELECT profile FROM rules) THEN p.device_class ELSE 'default' END),
+dp AS (SELECT d.id, pm.* FROM dev d JOIN pm ON pm.profile = CASE WHEN d.device_class IN (SELECT profile FROM rules) THEN d.device_class ELSE 'default' END WHERE d.device_class IS NOT NULL),
+told AS (SELECT device_id AS id, t, v, min(ts) AS f, max(ts) AS l, bool_or(ts >= {TIME_FROM} AND ts < {TIME_TO}) AS timed FROM w WHERE t IN (3, 255) AND device_id IS NOT NULL GROUP BY ALL),
+clock AS (SELECT device_id AS id, v, min(ts) AS f, max(ts) AS l FROM w WHERE t = 255 AND ts >= {TIME_FROM} AND ts < {TIME_TO} GROUP BY ALL),
+sv AS (SELECT id, v, count(*) OVER (PARTITION BY v) AS pop FROM (SELECT DISTINCT id, v FROM told WHERE t = 3)),
+sn AS (SELECT id, count(*) AS n FROM sv GROUP BY id),
+su AS (SELECT p.a, p.b, CASE WHEN EXISTS (SELECT 1 FROM sv x WHERE x.id IN (p.a, p.b) AND x.pop <= 3 AND NOT EXISTS (SELECT 1 FROM sv y WHERE y.v = x.v AND y.id IN (p.a, p.b) AND y.id <> x.id)) THEN -0.5
+  ELSE round((SELECT count(*) FROM sv x JOIN sv y ON x.v = y.v WHERE x.id = p.a AND y.id = p.b) / (na.n + nb.n - (SELECT count(*) FROM sv x JOIN sv y ON x.v = y.v WHERE x.id = p.a AND y.id = p.b)), 4) END AS score
+  FROM pairs p JOIN sn na ON na.id = p.a JOIN sn nb ON nb.id = p.b),
+mk AS (SELECT DISTINCT id, substr(v, 1, 4) AS m, CASE WHEN length(v) > 4 THEN substr(v, 1, 12) END AS x FROM told WHERE t = 255 AND length(v) >= 4),
+mp AS (SELECT p.a, p.b, max(CASE WHEN x.x = y.x THEN 1.0 ELSE 0.0 END) AS score, bool_or(x.m = y.m) AS alike FROM pairs p JOIN mk x ON x.id = p.a JOIN mk y ON y.id = p.b GROUP BY p.a, p.b),
+bl AS (SELECT DISTINCT id, v FROM told WHERE t = 255 AND v LIKE '4C00%' AND length(v) >= 8),
+ms(id, v, pos, c, n, x) AS (
+  SELECT id, v, 5, -1, 0, '' FROM bl UNION ALL
+  SELECT id, v, pos + 4 + 2 * CAST('0x' || substr(v, pos + 2, 2) AS INTEGER), CAST('0x' || substr(v, pos, 2) AS INTEGER), CAST('0x' || substr(v, pos + 2, 2) AS INTEGER), substr(v, pos + 4, 2 * CAST('0x' || substr(v, pos + 2, 2) AS INTEGER))
+  FROM ms WHERE pos + 3 <= length(v) AND pos + 3 + 2 * CAST('0x' || substr(v, pos + 2, 2) AS INTEGER) <= length(v)),
+mt AS (SELECT DISTINCT id, c FROM ms WHERE c >= 0), mc AS (SELECT id, count(*) AS n FROM mt GROUP BY id), bh AS (SELECT DISTINCT id FROM bl),
+ac AS (SELECT p.a, p.b, CASE WHEN EXISTS (SELECT 1 FROM ms x JOIN ms y ON x.c = y.c AND x.x = y.x WHERE x.id = p.a AND y.id = p.b AND x.c >= 0 AND x.n >= p.min_bytes) THEN 1.0
+  WHEN s.n > 0 THEN round(0.4 * s.n / (na.n + nb.n - s.n), 4) ELSE -0.3 END AS score
+  FROM pp p JOIN bh x ON x.id = p.a JOIN bh y ON y.id = p.b LEFT JOIN mc na ON na.id = p.a LEFT JOIN mc nb ON nb.id = p.b LEFT JOIN LATERAL (SELECT count(*) AS n FROM mt i JOIN mt j ON i.c = j.c WHERE i.id = p.a AND j.id = p.b) s ON TRUE),
+hs AS (SELECT k.id, k.f, k.l, CAST('0x' || substr(h.x, 3, 4) AS INTEGER) AS seq FROM clock k JOIN (SELECT id, v, arg_min(x, pos) AS x FROM ms WHERE c = 12 AND n >= 3 GROUP BY id, v) h ON h.id = k.id AND h.v = k.v),
+sq AS (SELECT p.a, p.b, max(CASE WHEN greatest(0, y.f - x.l, x.f - y.l) > p.max_dt THEN 0.0 WHEN abs(x.seq - y.seq) = 1 THEN 1.0 WHEN abs(x.seq - y.seq) <= p.max_gap THEN 0.6 ELSE 0.0 END) AS score FROM pp p JOIN hs x ON x.id = p.a JOIN hs y ON y.id = p.b GROUP BY p.a, p.b),
+wn AS (SELECT p.a, p.b, least(x.last_seen, y.last_seen) - greatest(x.first_seen, y.first_seen) AS shared, greatest(x.last_seen, y.last_seen) - least(x.first_seen, y.first_seen) AS whole
+  FROM pairs p JOIN obs x ON x.device_id = p.a JOIN obs y ON y.device_id = p.b AND y.session_id = x.session_id WHERE x.first_seen IS NOT NULL AND y.first_seen IS NOT NULL),
+co AS (SELECT a, b, max(CASE WHEN shared > 0 THEN CASE WHEN shared / whole >= 0.9 THEN 0.95 WHEN shared / whole >= 0.5 THEN 0.4 ELSE 0.0 END WHEN -shared > 60 THEN NULL WHEN -shared <= 5 THEN 0.95 ELSE 0.95 - 0.5 * (-shared - 5.0) / 55.0 END) AS score FROM wn GROUP BY a, b),
+hr AS (SELECT device_id AS id, sniffer_id, ts, rssi FROM packets WHERE sniffer_id IS NOT NULL AND device_id IS NOT NULL AND {VALID}),
+st AS (SELECT h.id, h.sniffer_id, avg(rssi) AS m, stddev_pop(rssi) AS d FROM (SELECT *, max(ts) OVER (PARTITION BY id, sniffer_id) AS latest FROM hr WHERE rssi IS NOT NULL) h JOIN dp ON dp.id = h.id WHERE ts >= latest - dp.recent GROUP BY h.id, h.sniffer_id HAVING count(*) >= 3),
+lz AS (SELECT p.a, p.b, p.z_full, p.min_sniffers, abs(x.m - y.m) / greatest(sqrt((x.d * x.d + y.d * y.d) / 2), p.floor) AS z FROM pp p JOIN st x ON x.id = p.a JOIN st y ON y.id = p.b AND y.sniffer_id = x.sniffer_id),
+lv AS (SELECT a, b, avg(CASE WHEN z >= z_full THEN 0.0 ELSE 1 - z / z_full END) AS score FROM lz GROUP BY a, b HAVING count(*) >= max(min_sniffers)),
+rt AS (SELECT DISTINCT device_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY last_seen DESC NULLS LAST, id) AS r FROM addresses WHERE device_id IS NOT NULL) WHERE r = 1 AND address_type = 'rpa'),
+pz AS (SELECT id, sniffer_id, min(ts) AS f, max(ts) AS l FROM hr WHERE id IN (SELECT id FROM rt) GROUP BY 1, 2),
+rg AS (SELECT p.*, least(x.l, y.l) - greatest(x.f, y.f) > 0 AS overlap, least(CASE WHEN y.f - x.l > 0 THEN y.f - x.l END, CASE WHEN x.f - y.l > 0 THEN x.f - y.l END) AS gap FROM pp p JOIN pz x ON x.id = p.a JOIN pz y ON y.id = p.b AND y.sniffer_id = x.sniffer_id),
+ro AS (SELECT a, b, CASE WHEN bool_or(overlap) THEN -1.0 ELSE max(CASE WHEN gap IS NULL OR gap > most THEN 0.0 WHEN gap < rg.least THEN 0.5 ELSE greatest(0.0, 1 - abs(gap - expected) / expected) END) END AS score FROM rg GROUP BY a, b),
+sc AS (SELECT a, b, 'service_uuid_match' AS signal, score::DOUBLE AS score FROM su UNION ALL SELECT a, b, 'mfg_data_prefix', score FROM mp WHERE alike UNION ALL SELECT a, b, 'apple_continuity', score FROM ac UNION ALL SELECT a, b, 'continuity_seq_carryover', score FROM sq
+  UNION ALL SELECT a, b, 'co_lifespan_match', score FROM co WHERE score IS NOT NULL UNION ALL SELECT a, b, 'rssi_signature', score FROM lv UNION ALL SELECT a, b, 'rotation_cohort', score FROM ro)"""
+_CASCADE = f"""{_SEVEN},
+it AS (SELECT p.a, p.b, p.device_class, r.*, CASE WHEN s.score IS NOT NULL THEN greatest(-1, least(1, s.score)) END AS s FROM pp p JOIN rules r ON r.profile = p.profile LEFT JOIN sc s ON s.a = p.a AND s.b = p.b AND s.signal = r.signal),
+g AS (SELECT a, b, device_class, profile, any_value(threshold) AS threshold, any_value(it.least) AS least_w, string_agg(signal, ',' ORDER BY ord) FILTER (s IS NULL AND for_merge) AS fm, string_agg(signal, ',' ORDER BY ord) FILTER (s IS NULL AND NOT for_merge AND eventually) AS me,
   min(s) AS worst, max(CASE WHEN decisive AND s >= 0.95 THEN s END) AS best, coalesce(sum(CASE WHEN s IS NOT NULL THEN weight END), 0) AS total, coalesce(sum(s * weight), 0) AS weighted FROM it GROUP BY a, b, device_class, profile),
 dc AS (SELECT a, b, device_class, profile, CASE WHEN fm IS NOT NULL THEN 'reject' WHEN worst >= -0.3 AND best IS NOT NULL THEN 'merge' WHEN me IS NOT NULL OR total < least_w - 1e-12 THEN 'abstain' WHEN CASE WHEN total > 0 THEN weighted / total ELSE 0 END >= threshold THEN 'merge' ELSE 'reject' END AS outcome,
   CASE WHEN fm IS NOT NULL THEN 0 WHEN worst >= -0.3 AND best IS NOT NULL THEN best WHEN me IS NOT NULL OR total < least_w - 1e-12 THEN NULL ELSE CASE WHEN total > 0 THEN weighted / total ELSE 0 END END::DOUBLE AS score,
   CASE WHEN fm IS NOT NULL THEN 'missing_required_for_merge:' || fm WHEN worst >= -0.3 AND best IS NOT NULL THEN NULL WHEN me IS NOT NULL THEN 'missing_eventually:' || me WHEN total < least_w - 1e-12 THEN printf('below_min_total_weight:%.2f/%.2f', total, least_w) END AS reason FROM g)"""
 
 
-def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = materialize(_pairs(spark, sf_dir), "pairs")  # read by every signal
-    scores = {
-        "co_lifespan_match": signals.lifespans(pairs, views.observed(spark, sf_dir)), "rotation_cohort": _rotations(spark, sf_dir, pairs),
-        "rssi_signature": signals.levels(pairs, signals.recent_levels(_heard(spark, sf_dir), window=3600.0)),
+def _signal_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """What the signals read: AD entries, and the times of each device by session and receiver, from one scan each, written once."""
+    keys, ts = ["device_id", "ad_type", "ad_value"], F.col("ts")
+    entries = materialize(_entries(spark, sf_dir).filter("device_id is not null"), "entries")
+    valid = F.when(is_valid_time(ts), ts)
+    times = [F.min(ts).alias("f"), F.max(ts).alias("l"), F.min(valid).alias("first"), F.max(valid).alias("last"), F.count(valid).alias("n"), F.max(F.when(F.col("rssi").isNotNull(), valid)).alias("latest")]
+    seen = materialize(read(spark, sf_dir, "packets").filter("device_id is not null").groupBy("session_id", "device_id", "sniffer_id").agg(*times), "seen")
+    heard = seen.filter("sniffer_id is not null and n > 0").groupBy(F.col("device_id").alias("id"), "sniffer_id")
+    return {
+        "told": observe.vocabulary(entries, keys), "timed": observe.vocabulary(entries.filter(is_valid_time(ts)), keys),  # broken clocks tell no handoff
+        "windows": seen.groupBy("session_id", "device_id").agg(F.min("f").alias("first_seen"), F.max("l").alias("last_seen")),
+        "presence": heard.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")), "latest": heard.agg(F.max("latest").alias("latest")).filter("latest is not null"),
     }
-    return cascade.decide(pairs, cascade.gather(scores), profiles.rules(spark, _PROFILES), _PROFILES)
+
+
+def _scores(spark: SparkSession, sf_dir: str, tables: dict[str, DataFrame], pairs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Scores of the seven signals with the parameters of each class, for the pairs, or for all pairs of one class where none are given."""
+    known = views.devices(spark, sf_dir).select("id", "device_class")
+    which = {"pairs": pairs, "devices": known if pairs is None else None}
+    num = lambda signal: {k: profiles.number(_PROFILES, signal, k, d) for k, d in _PARAMETERS[signal].items()}
+    level, steps = num("rssi_signature"), {k: profiles.common(_PROFILES, "continuity_seq_carryover", k, d) for k, d in _PARAMETERS["continuity_seq_carryover"].items()}
+    rotating = signals.latest_address(read(spark, sf_dir, "addresses")).filter("address_type = 'rpa'").select(F.col("device_id").alias("id"))
+    stats = signals.recent_levels(_heard(spark, sf_dir), level.pop("window"), devices=known, latest=tables["latest"])
+    return {
+        "service_uuid_match": signals.services(vocabulary=tables["told"], **which), "mfg_data_prefix": signals.maker_prefix(vocabulary=tables["told"], **which),
+        "apple_continuity": signals.continuity(vocabulary=tables["told"], least=num("apple_continuity")["min_bytes"], **which),
+        "continuity_seq_carryover": signals.sequences(vocabulary=tables["timed"], max_gap=int(steps["max_gap"]), max_dt=steps["max_dt"], **which),
+        "co_lifespan_match": signals.lifespans(windows=tables["windows"], **which), "rotation_cohort": signals.rotations(seen=tables["presence"], rotating=rotating, **num("rotation_cohort"), **which),
+        "rssi_signature": signals.levels(stats=stats, **level, **which),
+    }
+
+
+def _decided(spark: SparkSession, sf_dir: str, with_evidence: bool = False) -> DataFrame:
+    tables = _signal_tables(spark, sf_dir)
+    pairs = materialize(_evidence(spark, sf_dir, tables), "pairs") if with_evidence else None
+    scores = _scores(spark, sf_dir, tables, pairs)
+    return cascade.decide(_pairs(spark, sf_dir) if pairs is None else pairs, cascade.gather(scores), profiles.rules(spark, _PROFILES), _PROFILES)
 
 
 @query(_CASCADE + " SELECT a, b, device_class, profile, outcome, round(score, 6) AS score, reason FROM dc")
 def q26_cascade_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CL-1, CL-2: the decision on each candidate pair, from the signals of the packet log."""
+    """CL-1, CL-2, SG-1 to SG-7: the decision on each candidate pair from all seven signals, with the parameters of its class."""
     return _decided(spark, sf_dir).drop("contributions").withColumn("score", F.round("score", 6))
 
 
@@ -478,46 +550,38 @@ def q58_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.counters(_decided(spark, sf_dir))
 
 
-def _per_profile(pairs: DataFrame, signal: str, defaults: dict[str, float], make: Callable[..., DataFrame]) -> DataFrame:
-    """Scores of a signal for the pairs whose profile weighs it, each with its profile's parameters (``defaults`` where it sets none)."""
-    values = {n: profiles.parameter(_PROFILES, signal, n, d) for n, d in defaults.items()}
-    alike: dict[tuple[float, ...], list[str]] = {}
-    for name, p in _PROFILES.items():
-        if signal in p["weights"]:
-            alike.setdefault(tuple(values[n].get(name, d) for n, d in defaults.items()), []).append(name)
-    profile = candidates.profile_of(F.col("device_class"), _PROFILES)
-    return reduce(DataFrame.unionByName, [make(pairs.filter(profile.isin(names)), **dict(zip(defaults, v))) for v, names in alike.items()])
-
-
-def _decided_by_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = materialize(_pairs(spark, sf_dir), "pairs")  # read by every signal
-    keys = ["device_id", "ad_type", "ad_value"]
-    entries, heard = _entries(spark, sf_dir), _heard(spark, sf_dir)
-    told = materialize(observe.vocabulary(entries, keys), "vocabulary")
-    timed = materialize(observe.vocabulary(entries.filter(is_valid_time(F.col("ts"))), keys), "vocabulary")  # broken clocks tell no handoff
-    make: dict[str, tuple[dict[str, float], Callable[..., DataFrame]]] = {
-        "service_uuid_match": ({}, lambda p: signals.services(p, told)),
-        "mfg_data_prefix": ({}, lambda p: signals.maker_prefix(p, told)),
-        "apple_continuity": ({"min_bytes": 8.0}, lambda p, min_bytes: signals.continuity(p, told, int(min_bytes))),
-        "continuity_seq_carryover": ({"max_gap": 5.0, "max_dt": 600.0}, lambda p, **kw: signals.sequences(p, timed, **kw)),
-        "co_lifespan_match": ({}, lambda p: signals.lifespans(p, views.observed(spark, sf_dir))),
-        "rotation_cohort": ({"expected": 900.0, "least": 0.05, "most": 1800.0}, lambda p, **kw: _rotations(spark, sf_dir, p, **kw)),
-        "rssi_signature": ({"min_sniffers": 2.0, "floor": 1.5, "z_full": 4.0, "window": 30.0}, lambda p, window, **kw: signals.levels(p, signals.recent_levels(heard, window), **kw)),
-    }
-    scores = {signal: _per_profile(pairs, signal, defaults, f) for signal, (defaults, f) in make.items()}
-    return cascade.decide(pairs, cascade.gather(scores), profiles.rules(spark, _PROFILES), _PROFILES)
+def _evidence(spark: SparkSession, sf_dir: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """Pairs of one class that share something which can carry a merge: like or adjoining windows, a take-over at a receiver, or vocabulary.
 
+    Like levels alone don't: their weight is less than ``threshold * min_total_weight`` in every profile (tested), and they are decisive in none. So every merge
+    among all pairs is one among these.
+    """
+    known = views.devices(spark, sf_dir).select("id", "device_class")
+    rotating = signals.latest_address(read(spark, sf_dir, "addresses")).filter("address_type = 'rpa'").select(F.col("device_id").alias("id"))
+    most = max(p["params"].get("rotation_cohort", {}).get("most", _PARAMETERS["rotation_cohort"]["most"]) for p in _PROFILES.values())
+    numbers = tables["timed"].filter("ad_type = 255").select(F.col("device_id").alias("id"), F.lit("n").alias("block")).distinct()  # rare: devices that tell handoff numbers
+    blocks = candidates.vocabulary_blocks(tables["told"]).unionByName(numbers)
+    found = [candidates.lifespan_pairs(tables["windows"], known), candidates.rotation_pairs(tables["presence"].join(rotating, "id", "left_semi"), known, most), candidates.blocked_pairs(blocks, known)]
+    return reduce(DataFrame.unionByName, found).distinct()
 
-@query()
-def q79_cascade_all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CL-1, CL-2, SG-1 to SG-7: the decision on each candidate pair from all seven signals, with the parameters of its class."""
-    return _decided_by_all(spark, sf_dir).drop("contributions").withColumn("score", F.round("score", 6))
 
+_LIKELY = f"""{_SEVEN}, near AS (SELECT DISTINCT a, b FROM rg WHERE gap <= (SELECT max(most) FROM pm)),
+ty AS (SELECT DISTINCT x.id AS a, y.id AS b FROM mt x JOIN mt y ON x.c = y.c AND x.id < y.id), pf AS (SELECT DISTINCT x.id AS a, y.id AS b FROM mk x JOIN mk y ON x.x = y.x AND x.id < y.id),
+ss AS (SELECT DISTINCT x.id AS a, y.id AS b FROM sv x JOIN sv y ON x.v = y.v AND x.id < y.id), hn AS (SELECT DISTINCT x.id AS a, y.id AS b FROM clock x JOIN clock y ON x.id < y.id),
+ev AS (SELECT a, b, device_class FROM pairs WHERE EXISTS (SELECT 1 FROM co WHERE co.a = pairs.a AND co.b = pairs.b AND score > 0) OR EXISTS (SELECT 1 FROM near WHERE near.a = pairs.a AND near.b = pairs.b) OR EXISTS (SELECT 1 FROM ty WHERE ty.a = pairs.a AND ty.b = pairs.b)
+  OR EXISTS (SELECT 1 FROM pf WHERE pf.a = pairs.a AND pf.b = pairs.b) OR EXISTS (SELECT 1 FROM ss WHERE ss.a = pairs.a AND ss.b = pairs.b) OR EXISTS (SELECT 1 FROM hn WHERE hn.a = pairs.a AND hn.b = pairs.b))"""
 
-@query()
-def q80_all_signals_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-13, CL-3: merges, rejections and abstentions by class and reason, all signals counted."""
-    return cascade.counters(_decided_by_all(spark, sf_dir))
+
+@query(_LIKELY + " SELECT a, b, device_class FROM ev")
+def q82_evidence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CL-11, JN-8: candidate pairs from shared evidence, without comparing all pairs of a class."""
+    return _evidence(spark, sf_dir, _signal_tables(spark, sf_dir))
+
+
+@query(_CASCADE + " SELECT a, b, device_class, round(score, 6) AS score FROM dc WHERE outcome = 'merge'")
+def q83_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CL-2, CL-11: the merges among all pairs of a class, found among the pairs with shared evidence alone."""
+    return _decided(spark, sf_dir, with_evidence=True).filter("outcome = 'merge'").select("a", "b", "device_class", F.round("score", 6).alias("score"))
 
 
 _MERGED = "SELECT a_id AS a, b_id AS b FROM merge_decisions WHERE is_merge AND a_id <> b_id"
@@ -577,7 +641,7 @@ def q29_stable_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CL-9, FLT-10: devices that are one in their own right."""
     members = read(spark, sf_dir, "device_cluster_members").select("cluster_id", "device_id")
     sizes = members.join(members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")), "cluster_id").groupBy("device_id").agg(F.max("n").alias("n"))
-    rows = views.devices(spark, sf_dir).join(_project_totals(spark, sf_dir).select(F.col("device_id").alias("t"), "packet_count"), F.col("id") == F.col("t"), "left").join(sizes, F.col("id") == F.col("device_id"), "left")
+    rows = views.devices(spark, sf_dir).join(_device_totals(spark, sf_dir).select(F.col("device_id").alias("t"), "packet_count"), F.col("id") == F.col("t"), "left").join(sizes, F.col("id") == F.col("device_id"), "left")
     return rows.select("id", identity.is_stable(F.col("kind"), F.col("n"), F.col("user_name"), F.col("local_name"), F.col("device_class"), F.col("packet_count"), 50).alias("stable"))
 
 
@@ -655,14 +719,14 @@ def q39_precedence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH sw AS (SELECT serial_number, usb_port_id, 1796700000.0::DOUBLE AS seen_at, name FROM sniffers WHERE id % 3 <> 0 UNION ALL SELECT 'SN-NEW', '/dev/ttyACM99', 1796700000.0, 'new')
+    """WITH sw AS (SELECT serial_number, usb_port_id, 1796700000.0::DOUBLE AS seen_at, name FROM sniffers WHERE is_active UNION ALL SELECT 'SN-NEW', '/dev/ttyACM99', 1796700000.0, 'new')
     SELECT coalesce(k.serial_number, s.serial_number) AS serial_number, coalesce(k.name, s.name) AS name, s.serial_number IS NOT NULL AS is_active, CASE WHEN s.serial_number IS NOT NULL THEN FALSE ELSE k.removed END AS removed, coalesce(k.first_seen, s.seen_at) AS first_seen, coalesce(s.seen_at, k.last_seen) AS last_seen
     FROM sniffers k FULL JOIN sw s ON s.serial_number = k.serial_number"""
 )
 def q40_sniffer_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UP-5, JN-14: receivers after a discovery sweep."""
     known = read(spark, sf_dir, "sniffers")
-    sweep = known.filter("id % 3 <> 0").select("serial_number", "usb_port_id", F.lit(1796700000.0).alias("seen_at"), "name")
+    sweep = known.filter("is_active").select("serial_number", "usb_port_id", F.lit(1796700000.0).alias("seen_at"), "name")
     new = spark.createDataFrame([("SN-NEW", "/dev/ttyACM99", 1796700000.0, "new")], sweep.schema)
     return upserts.discovered(known, sweep.unionAll(new)).drop("usb_port_id")
 
@@ -675,7 +739,7 @@ def q41_anti_self_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PREFIX = """px AS (SELECT DISTINCT upper(replace(substr(address, 1, 8), ':', '')) AS p, 'short ' || upper(replace(substr(address, 1, 8), ':', '')) AS v FROM addresses WHERE address_type = 'public'
-  UNION SELECT DISTINCT upper(substr(replace(address, ':', ''), 1, 7)), 'long ' || upper(substr(replace(address, ':', ''), 1, 7)) FROM addresses WHERE address_type = 'public' AND id % 2 = 0),
+  UNION SELECT DISTINCT upper(substr(replace(address, ':', ''), 1, 7)), 'long ' || upper(substr(replace(address, ':', ''), 1, 7)) FROM addresses WHERE address_type = 'public' AND device_id IS NOT NULL),
 d AS (SELECT DISTINCT address, upper(replace(address, ':', '')) AS m FROM addresses)"""
 
 
@@ -686,7 +750,7 @@ def q42_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = identity.normal_mac(F.col("address"))
     public = a.filter("address_type = 'public'")
     short = public.select(F.substring(m, 1, 6).alias("prefix"), F.concat(F.lit("short "), F.substring(m, 1, 6)).alias("vendor"))
-    long = public.filter("id % 2 = 0").select(F.substring(m, 1, 7).alias("prefix"), F.concat(F.lit("long "), F.substring(m, 1, 7)).alias("vendor"))
+    long = public.filter("device_id is not null").select(F.substring(m, 1, 7).alias("prefix"), F.concat(F.lit("long "), F.substring(m, 1, 7)).alias("vendor"))
     return dimensions.maker(a.select("address").distinct(), "address", short.union(long).distinct())
 
 
@@ -728,7 +792,7 @@ def q66_value_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_TOTALS + " SELECT device_id, packet_count FROM t ORDER BY packet_count DESC, device_id LIMIT 20")
 def q51_busiest_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TK-4: the twenty busiest devices."""
-    return observe.most_common(_project_totals(spark, sf_dir).select("device_id", "packet_count"), "packet_count", ["device_id"], 20)
+    return observe.most_common(_device_totals(spark, sf_dir).select("device_id", "packet_count"), "packet_count", ["device_id"], 20)
 
 
 @query("SELECT id, project_id, source_type, started_at FROM sessions ORDER BY started_at DESC NULLS LAST, id LIMIT 20")

@@ -69,5 +69,4 @@ def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENT_PAIRS = """cls AS (SELECT DISTINCT user_id AS id, c_mktsegment AS device_class FROM events JOIN customer ON c_custkey = user_id),
-capped AS (SELECT device_class FROM cls GROUP BY device_class HAVING count(*) <= 1500),
-pairs AS (SELECT x.id AS a, y.id AS b FROM cls x JOIN cls y ON x.device_class = y.device_class AND x.id < y.id WHERE x.device_class IN (SELECT device_class FROM capped))"""
+pairs AS (SELECT x.id AS a, y.id AS b FROM cls x JOIN cls y ON x.device_class = y.device_class AND x.id < y.id)"""
