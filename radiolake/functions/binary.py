@@ -14,6 +14,11 @@ def _at(i: Offset) -> Column:
     return F.lit(i) if isinstance(i, int) else i
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it and in whichever branch."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def part(b: Column, start: Offset, length: Offset) -> Column:
     """``length`` bytes from the 0-based ``start``; fewer at the end."""
     return F.substring(b, _at(start) + 1, _at(length))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from radiolake.functions.binary import le16
@@ -44,3 +46,19 @@ def shared_payloads(holders: DataFrame, top: int = 20, cells: int = 16) -> DataF
     left = h.select(F.col("device_id").alias("a"), "payload", cell.alias("ca")).withColumn("cb", F.explode(every))
     right = h.select(F.col("device_id").alias("b"), "payload", cell.alias("cb")).withColumn("ca", F.explode(every))
     return left.join(right, ["payload", "ca", "cb"]).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "a", "b").limit(top)
+
+
+def holders(vocabulary: DataFrame, types: list[int]) -> DataFrame:
+    """``type, device_id, count``: the devices that told messages of the types, and how often."""
+    return told(vocabulary).filter(F.col("type").isin(types)).groupBy("type", "device_id").agg(F.sum("count").alias("count"))
+
+
+def report(vocabulary: DataFrame, top: int = 20) -> DataFrame:
+    """The inventory as lines of text, section by section, each with its ``top`` rows of most devices: ``section, place, line``."""
+    sections = [("vendors", vendors(vocabulary), F.format_string("0x%04X", "company")), ("messages", message_types(vocabulary), F.col("name")), ("models", models(vocabulary), F.col("model")), ("actions", actions(vocabulary), F.col("action"))]
+    parts = []
+    for title, df, name in sections:
+        first = df.select(F.lit(title).alias("section"), name.alias("name"), "devices").orderBy(F.desc("devices"), "name").limit(top)
+        place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("devices"), "name"))  # ``top`` rows
+        parts.append(first.select("section", place.alias("place"), F.format_string("%6d  %s", "devices", "name").alias("line")))
+    return reduce(DataFrame.unionAll, parts)

@@ -70,3 +70,10 @@ def fresh(observed: DataFrame, key: str, session: str, newest: Column, cutoff: C
 def most_common(rows: DataFrame, count: str, tie: list[str], n: int) -> DataFrame:
     """The ``n`` rows of the greatest count; of equal ones the smallest by ``tie``."""
     return rows.orderBy(F.desc(count), *tie).limit(n)
+
+
+def in_order_met(rows: DataFrame, key: str, value: str, ts: str) -> DataFrame:
+    """``key, values``: the distinct non-null values of each key in order of their first time (nulls last, equal ones by value)."""
+    first = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(ts).alias("_t"))
+    entry = F.struct(F.col("_t").isNull().alias("n"), F.col("_t").alias("t"), F.col(value).alias("v"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["v"]).alias("values"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from radiolake.functions.frames import lookup
 from radiolake.functions.identity import KIND_RANK
+from radiolake.runtime import Stage
 
 
 def unambiguous(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -68,16 +71,29 @@ def sort_keys() -> dict[str, Column]:
     }
 
 
-def subtree(groups: DataFrame, root: int, most: int = 32) -> DataFrame:
-    """A group with all groups below it: ``id, depth``, down to ``most`` levels (groups are nested by hand)."""
-    level = groups.filter(F.col("id") == root).select("id", F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, most + 1):
-        level = groups.join(level.select(F.col("id").alias("parent_group_id")), "parent_group_id").select("id", F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.unionAll(level)
-    return out
+def subtree(groups: DataFrame, root: int) -> DataFrame:
+    """A group with all groups below it, however deep: ``id, depth``. Each level is written; a group met before (nested in a ring) isn't entered again."""
+    levels = [Stage(groups.filter(F.col("id") == root).select("id", F.lit(0).alias("depth")).distinct(), "subtree")]
+    while True:
+        met = reduce(DataFrame.unionAll, [level.df for level in levels])
+        below = groups.join(levels[-1].df.select(F.col("id").alias("parent_group_id")), "parent_group_id").select("id", F.lit(len(levels)).alias("depth")).distinct()
+        following = Stage(below.join(met.select("id"), "id", "left_anti"), "subtree")
+        if following.df.isEmpty():
+            return met
+        levels.append(following)
+
+
+def looked_up(wanted: DataFrame, rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Point lookups of many keys at once: ``wanted`` (``key``) with the columns of the row of that key and ``found``; missing ones have nulls. The key is unique in ``rows``."""
+    return wanted.select(key).distinct().join(rows.select(key, *columns, F.lit(True).alias("found")), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def at_either_end(wanted: DataFrame, links: DataFrame, a: str, b: str, key: str = "device_id") -> DataFrame:
+    """Links one of whose ends is wanted, each with that end as ``key`` (twice where both are): two joins by equality rather than one by either condition."""
+    keys = wanted.select(key).distinct()
+    one = links.join(keys, F.col(a) == F.col(key))
+    two = links.filter(~F.col(a).eqNullSafe(F.col(b))).join(keys, F.col(b) == F.col(key))
+    return one.unionByName(two)
 
 
 def newest_session(sessions: DataFrame) -> DataFrame:

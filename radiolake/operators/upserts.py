@@ -75,3 +75,40 @@ def current_state(log: DataFrame, key: str, at: str, seq: str) -> DataFrame:
     """State of each request from its log: the row of the greatest (time, seq)."""
     rest = [c for c in log.columns if c != key]
     return log.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(at, seq)).alias("r")).select(key, "r.*")
+
+
+def overridden(rows: DataFrame, edits: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
+    """``rows`` after the edits of users (``key, field, value, seq``): the last edit of a field counts, a null value clears it, other fields stay."""
+    last = edits.filter(F.col("field").isin(fields)).groupBy(key, "field").agg(F.max_by(F.struct("value"), "seq").alias("v"))
+    wide = last.groupBy(key).agg(*[F.max(F.when(F.col("field") == f, F.col("v"))).alias(f"_{f}") for f in fields])
+    return rows.join(wide, key, "left").withColumns({f: F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.value")).otherwise(F.col(f)) for f in fields}).drop(*[f"_{f}" for f in fields])
+
+
+def maintained(receivers: DataFrame, log: DataFrame, key: str = "id") -> DataFrame:
+    """Receivers after a log of upkeep (``key, op, value, seq``): ``remove`` and ``restore`` (the last counts), ``name`` (the last; null clears), ``stall`` (counted from the last
+    ``clear`` on, on top of what there was if none cleared it; ``seq`` of the last is its time)."""
+    op = lambda *names: F.col("op").isin(*names)
+    cleared = log.filter(op("clear")).groupBy(key).agg(F.max("seq").alias("_cleared"))
+    seen = log.join(cleared, key, "left").groupBy(key).agg(
+        F.max_by(op("remove"), F.when(op("remove", "restore"), F.col("seq"))).alias("_removed"), F.max_by(F.struct("value"), F.when(op("name"), F.col("seq"))).alias("_name"), F.first("_cleared").alias("_cleared"),
+        F.count_if(op("stall") & F.coalesce(F.col("seq") > F.col("_cleared"), F.lit(True))).alias("_stalls"), F.max(F.when(op("stall") & F.coalesce(F.col("seq") > F.col("_cleared"), F.lit(True)), F.col("seq"))).alias("_at"),
+    )
+    held = F.when(F.col("_cleared").isNull(), F.coalesce("stall_count", F.lit(0))).otherwise(0)
+    return receivers.join(seen, key, "left").withColumns(
+        {
+            "removed": F.coalesce("_removed", "removed"), "name": F.when(F.col("_name").isNotNull(), F.col("_name.value")).otherwise(F.col("name")), "stall_count": held + F.coalesce("_stalls", F.lit(0)),
+            "last_stall_at": F.coalesce("_at", F.when(F.col("_cleared").isNull(), F.col("last_stall_at"))),
+        }
+    ).drop("_removed", "_name", "_cleared", "_stalls", "_at")
+
+
+def ended(sessions: DataFrame, ends: DataFrame, key: str = "id") -> DataFrame:
+    """Sessions after their ends (``key, at, notes, seq``): the last end's time, its notes where it has any, else those there were."""
+    last = ends.groupBy(key).agg(F.max_by("at", "seq").alias("_at"), F.max_by("notes", F.when(F.col("notes").isNotNull(), F.col("seq"))).alias("_notes"))
+    return sessions.join(last, key, "left").withColumns({"ended_at": F.coalesce("_at", "ended_at"), "notes": F.coalesce("_notes", "notes")}).drop("_at", "_notes")
+
+
+def keys_added(keys: DataFrame, seq: str = "seq") -> DataFrame:
+    """Identity keys by their digits in lower case: the first label, the last device linked; other texts than 32 hex digits are no keys."""
+    hex32 = keys.withColumn("key_hex", F.lower("key_hex")).filter(F.col("key_hex").rlike("^[0-9a-f]{32}$"))
+    return hex32.groupBy("key_hex").agg(first_known("label", seq), latest_known("device_id", seq))

@@ -3,12 +3,13 @@
 import pytest
 
 import __spark_entry__
-from radiolake.plans import general_problems, reference_queries
+from radiolake.plans import detail_queries, general_problems, ingest_queries, reference_queries
 from tests.oracle import DATA, same
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
-QUERIES = general_problems.QUERIES | reference_queries.QUERIES
-SQL = general_problems.SQL | reference_queries.SQL
+CORE = [general_problems, reference_queries, ingest_queries, detail_queries]
+QUERIES = {n: f for m in CORE for n, f in m.QUERIES.items()}
+SQL = {n: s for m in CORE for n, s in m.SQL.items()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

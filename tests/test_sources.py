@@ -118,3 +118,21 @@ def test_mined(spark):
 def test_text_sink(spark, tmp_path):
     sinks.text(spark.range(25).selectExpr("cast(id as string) as value").coalesce(1), str(tmp_path / "t"), most_lines=10)
     assert len(list((tmp_path / "t").glob("part*"))) == 3
+
+
+def test_swap_is_never_without_a_table(spark, tmp_path):
+    root = str(tmp_path)
+    sinks.swap({"t": spark.range(3)}, root)
+    (tmp_path / "t.parquet").rename(tmp_path / "_old-t.parquet")  # cut short between the moves
+    assert sinks.table(spark, root, "t").count() == 3
+    sinks.swap({"t": spark.range(5)}, root)
+    assert sinks.table(spark, root, "t").count() == 5 and not list(tmp_path.glob("_*"))
+
+
+def test_text_parts_by_size(spark, tmp_path):
+    words = ["é" * (i % 7) for i in range(300)] + ["long" * 30]
+    df = spark.createDataFrame(list(enumerate(words)), "no long, value string")
+    told = {r["part"]: (r["lines"], r["bytes"]) for r in sinks.text_by_size(df, str(tmp_path / "t"), 100, "no", block=40).collect()}
+    sizes = {p.name.split("=")[1]: sum(f.stat().st_size for f in p.glob("part*")) for p in (tmp_path / "t").glob("part=*")}
+    assert sizes == {k: n for k, (_, n) in told.items()} and sum(n for n, _ in told.values()) == 301
+    assert max(n for k, n in sizes.items() if "-" not in k) <= 100 and [n for k, n in sizes.items() if "-" in k] == [121]
