@@ -33,9 +33,16 @@ def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.filter("rssi is not null").select(F.explode(keys).alias("k"), "rssi").select("k.*", "rssi").filter("key_value is not null")
 
 
-@query()
+@query(
+    """SELECT key_column, key_value, count(*) AS n, 0.0::DOUBLE AS rank_error, """
+    + ", ".join(f"CAST(quantile_disc(rssi, {q}) AS DOUBLE) AS {name}" for name, q in FRACTIONS.items())
+    + """ FROM (SELECT 'channel' AS key_column, CAST(channel AS BIGINT) AS key_value, rssi FROM packets UNION ALL SELECT 'device_id', device_id, rssi FROM packets) WHERE rssi IS NOT NULL AND key_value IS NOT NULL GROUP BY ALL"""
+)
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of the level per channel and per device, with the bound of their rank error."""
+    """Percentiles of the level per channel and per device, with the bound of their rank error.
+
+    The SQL is exact, so it says the same wherever no key fills more than the buffers and every bound is 0 (40,000 packets do not; 400,000 do).
+    """
     keys = ["key_column", "key_value"]
     return quantiles.estimate(quantiles.combine(quantiles.sketch(_levels(spark, sf_dir), keys, "rssi"), keys), keys, FRACTIONS)
 
