@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -25,18 +26,21 @@ class CrcCredit(StatefulProcessor):
         self.last = handle.getValueState("last", "ts double, device long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """Arrival order is by ``seq``, over all chunks of the micro-batch; the last sound packet before each comes from a running maximum of places."""
         batch = pd.concat(rows).sort_values("seq", kind="stable")
-        last = self.last.get() if self.last.exists() else None
-        out = []
-        for seq, ts, device, ok in zip(batch["seq"], batch["ts"], batch["device_id"], batch["crc_ok"]):
-            if ok:
-                if not pd.isna(device):
-                    last = (float(ts), int(device))
-            else:
-                out.append((seq, last[1] if last is not None and ts - last[0] <= self.tolerance else None))
-        if last is not None:
-            self.last.update((last[0], last[1]))
-        yield pd.DataFrame({"seq": pd.Series([s for s, _ in out], dtype="int64"), "credited": pd.Series([d for _, d in out], dtype="Int64")})
+        ts, device, ok = batch["ts"].to_numpy(dtype=float), batch["device_id"].to_numpy(dtype=float, na_value=np.nan), batch["crc_ok"].to_numpy(dtype=bool)
+        held = self.last.get() if self.last.exists() else (0.0, None)
+        ts, device = np.append(held[0], ts), np.append(np.nan if held[1] is None else float(held[1]), device)  # the state stands first
+        sound = np.append(held[1] is not None, ok) & ~np.isnan(device)
+        last = np.maximum.accumulate(np.where(sound, np.arange(len(ts)), -1))
+        bad = np.flatnonzero(~ok) + 1
+        before = last[bad]
+        near = (before >= 0) & (ts[bad] - ts[before] <= self.tolerance)
+        if last[-1] >= 0:
+            self.last.update((float(ts[last[-1]]), int(device[last[-1]])))
+        credited = pd.array(np.where(near, np.nan_to_num(device[before]), 0).astype("int64"), dtype="Int64")
+        credited[~near] = pd.NA
+        yield pd.DataFrame({"seq": batch["seq"].to_numpy(dtype="int64")[bad - 1], "credited": credited})
 
     def close(self) -> None:
         pass

@@ -136,3 +136,47 @@ def test_text_parts_by_size(spark, tmp_path):
     sizes = {p.name.split("=")[1]: sum(f.stat().st_size for f in p.glob("part*")) for p in (tmp_path / "t").glob("part=*")}
     assert sizes == {k: n for k, (_, n) in told.items()} and sum(n for n, _ in told.values()) == 301
     assert max(n for k, n in sizes.items() if "-" not in k) <= 100 and [n for k, n in sizes.items() if "-" in k] == [121]
+
+
+def ng(order, *interfaces, packets=()):
+    """A pcapng file: a section, its interfaces (link type, option bytes), packets (interface, ticks, data)."""
+    block = lambda code, body: struct.pack(order + "II", code, len(body) + 12) + body + struct.pack(order + "I", len(body) + 12)
+    out = b"\x0a\x0d\x0d\x0a" + struct.pack(order + "IIHHq", 28, 0x1A2B3C4D, 1, 0, -1) + struct.pack(order + "I", 28)
+    for dlt, options in interfaces:
+        out += block(1, struct.pack(order + "HHI", dlt, 0, 65535) + options)
+    for number, ticks, data in packets:
+        out += block(6, struct.pack(order + "IIIII", number, ticks >> 32, ticks & 0xFFFFFFFF, len(data), len(data)) + data + b"\0" * (-len(data) % 4))
+    return out
+
+
+def test_newer_captures_and_other_files(spark, tmp_path):
+    nano = struct.pack("<HHB3x", 9, 1, 9) + struct.pack("<HH", 0, 0)
+    (tmp_path / "a.pcapng").write_bytes(ng("<", (272, b""), (256, nano), packets=[(0, 5_500_000, b"abc"), (1, 7_000_000_001, b"defgh"), (4, 1, b"no interface")]) + ng(">", (251, b""), packets=[(0, 2_000_000, b"z")]) + b"\x06\0\0\0cut")
+    (tmp_path / "empty.pcap").write_bytes(b"")
+    want = [("a", 2.0, 251, b"z"), ("a", 5.5, 272, b"abc"), ("a", 7.000000001, 256, b"defgh")]
+    show = lambda df: sorted((r["source"], r["ts"], r["dlt"], bytes(r["data"])) for r in df.collect())
+    capture.register(spark)
+    assert show(capture.read(spark, str(tmp_path))) == want == show(spark.read.format("capture").option("strict", "true").load(str(tmp_path)))
+    (tmp_path / "c.pcap").write_bytes(b"junk and more")
+    assert show(capture.read(spark, str(tmp_path), strict=False)) == want
+    for df in (capture.read(spark, str(tmp_path)), spark.read.format("capture").option("strict", "true").load(str(tmp_path))):
+        with pytest.raises(Exception, match="no capture file"):
+            df.collect()
+
+
+def test_captures_are_followed_as_they_grow(spark, tmp_path):
+    record = lambda t, data: struct.pack("<IIII", t, 0, len(data), len(data)) + data
+    (tmp_path / "in").mkdir()
+    live = tmp_path / "in" / "live.pcap"
+    live.write_bytes(b"\xd4\xc3\xb2\xa1" + struct.pack("<HHiIII", 2, 4, 0, 0, 65535, 272) + record(1, b"one") + record(2, b"two")[:10])
+    capture.register(spark)
+    stream = spark.readStream.format("capture").load(str(tmp_path / "in")).writeStream.format("memory").queryName("followed").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        stream.processAllAvailable()
+        assert [bytes(r["data"]) for r in spark.table("followed").collect()] == [b"one"]
+        with open(live, "ab") as f:
+            f.write(record(2, b"two")[10:] + record(3, b"three"))
+        stream.processAllAvailable()
+        assert sorted(bytes(r["data"]) for r in spark.table("followed").collect()) == [b"one", b"three", b"two"]
+    finally:
+        stream.stop()
