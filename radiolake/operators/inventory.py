@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from radiolake.functions.binary import le16
 from radiolake.functions.continuity import messages, nearby, pairing, type_name
+from radiolake.operators import blocks
 
 
 def vendors(vocabulary: DataFrame) -> DataFrame:
@@ -35,17 +37,21 @@ def actions(vocabulary: DataFrame) -> DataFrame:
     return told(vocabulary).filter("type = 16").select("device_id", nearby(F.col("payload"))["name"].alias("action")).filter("action is not null").groupBy("action").agg(F.count_distinct("device_id").alias("devices"))
 
 
-def shared_payloads(holders: DataFrame, top: int = 20, cells: int = 16) -> DataFrame:
+def shared_payloads(holders: DataFrame, top: int = 20, size: int = blocks.BLOCK) -> DataFrame:
     """Pairs of devices by the number of payloads they share, most first: ``a, b, n``.
 
-    ``holders``: ``device_id, payload``. The devices of a payload are paired per cell pair of their hashes, so that a payload half the devices have
-    is spread over ``cells`` squared parts; counts are combined before and after the shuffle.
+    ``holders``: ``device_id, payload``. Payloads are counted for all pairs of a block of devices with another at once, and each pair of blocks gives its first ``top``; those
+    are ordered together.
     """
-    h = holders.select("device_id", "payload").distinct()
-    cell, every = F.pmod(F.xxhash64("device_id"), F.lit(cells)), F.array(*map(F.lit, range(cells)))
-    left = h.select(F.col("device_id").alias("a"), "payload", cell.alias("ca")).withColumn("cb", F.explode(every))
-    right = h.select(F.col("device_id").alias("b"), "payload", cell.alias("cb")).withColumn("ca", F.explode(every))
-    return left.join(right, ["payload", "ca", "cb"]).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "a", "b").limit(top)
+    h = holders.select(F.col("device_id").alias("id"), "payload").filter("id is not null and payload is not null").distinct()
+    all_in_one = h.select("id", F.lit(0).alias("device_class")).distinct()
+    counted = blocks.scored(h, all_in_one, _shared, top, size).select("a", "b", F.col("score").cast("long").alias("n"))
+    return counted.orderBy(F.desc("n"), "a", "b").limit(top)
+
+
+def _shared(x: blocks.Block, y: blocks.Block) -> tuple[np.ndarray, np.ndarray]:
+    n = blocks.common(x, y, "payload")
+    return n, n > 0
 
 
 def holders(vocabulary: DataFrame, types: list[int]) -> DataFrame:
